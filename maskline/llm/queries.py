@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.llm import langid, packing, tokenfile, toxicity
+from maskline.llm import jaccard, langid, packing, tokenfile, toxicity
 from maskline.llm.common import crc_mod, table
 
 
@@ -32,12 +32,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_token_files, op8_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_token_files, op7_ngram_jaccard, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
