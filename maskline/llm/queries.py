@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.llm import jaccard, langid, packing, tokenfile, toxicity
+from maskline.llm import chat, html, jaccard, langid, packing, pieces, tokenfile, toxicity
 from maskline.llm.common import crc_mod, table
 
 
@@ -28,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs, path).drop("text"), path)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -40,9 +46,43 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_token_files, op7_ngram_jaccard, op8_packing)}
+    ops = (op1_language_id, op3_toxicity, op4_sentencepiece, op6_token_files, op7_ngram_jaccard, op8_packing, op9_html_text, op10_chat_format)
+    return {f.__name__: f for f in ops}
+
+
+#: Calls are users' turns, results the assistant's next ones; no text of the table is itself JSON.
+CHAT_SQL = """
+with calls as (select conv_id, turn, text from conversations where role = 'user'),
+results as (
+  select conv_id, turn - 1 as at, count(*) as n, min(turn) as turn, min(text) as content
+  from conversations where role = 'assistant' group by 1, 2),
+lines as (
+  select c.conv_id, c.turn, 'call' as kind, 'turn-' || c.turn as call_id, coalesce(r.n, 0) as n_results,
+    concat_ws('; ', case when c.text is null then 'missing prompt' end,
+      case when r.n is null then 'no result' when r.n > 1 then 'several results' end) as problems,
+    '{"arguments":{"prompt":' || coalesce(cast(to_json(c.text) as varchar), 'null') || '},"id":"turn-' || c.turn
+      || '","name":"reply","result":' || coalesce(cast(to_json(r.content) as varchar), 'null') || '}' as json
+  from calls c left join results r on r.conv_id = c.conv_id and r.at = c.turn
+  union all
+  select r.conv_id, r.turn, 'orphan', 'turn-' || r.at, r.n, 'no call',
+    '{"id":"turn-' || r.at || '","result":' || coalesce(cast(to_json(r.content) as varchar), 'null') || '}'
+  from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.turn = r.at)
+  union all
+  select conv_id, turn, 'message', null, 0, '',
+    '{"role":' || coalesce(cast(to_json(role) as varchar), 'null') || ',"text":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'
+  from conversations where role is null or role not in ('user', 'assistant'))
+select conv_id, turn, kind, call_id, cast(0 as integer) as level, n_results, problems, json, problems = '' as valid from lines
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": CHAT_SQL}
