@@ -32,10 +32,25 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession)
+    """df as a table in the shared folder: the lineage ends there and survives lost executors.
+
+    The JVM is then asked to collect garbage, so shuffle files that led to the table can go at once.
+    """
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(key: str | Column, n: int) -> Column:

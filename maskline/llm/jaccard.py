@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import components, written
+from maskline.llm.common import components, discard, written
 from maskline.llm.words import EXACT, FOLD, SPACE, mix, slices, spans, text_buffer
 
 #: The sketch has 2**SKETCH_BITS counters (4 bytes each) whatever the input; it only orders n-grams.
@@ -180,13 +180,22 @@ def _segments(docs: DataFrame, words: int, shared) -> DataFrame:
     return docs.select("text").mapInArrow(run, "c long, n int, fragment int, part array<long>")
 
 
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, na, b, nb) those that are similar: partial overlaps, summed for each pair."""
+def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, percent: int, shared) -> DataFrame:
+    """Of the pairs (a, na, b, nb) those that are similar: partial overlaps, summed for each pair.
+
+    Only the sets of classes in a pair are cut into segments and moved.
+    """
+    pairs = written(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(firsts, "c").select("doc_id").distinct()
+    segments = written(_segments(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words, shared))
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     a = segments.select(F.col("c").alias("a"), "fragment", F.col("part").alias("pa"))
     b = segments.select(F.col("c").alias("b"), "fragment", F.col("part").alias("pb"))
-    counted = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("k"))
+    counted = each.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("k"))
     overlap = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return overlap.where(F.col("k") * (100 + percent) >= percent * (F.col("na") + F.col("nb")).cast("long")).select("a", "b")
+    links = written(overlap.where(F.col("k") * (100 + percent) >= percent * (F.col("na") + F.col("nb")).cast("long")).select("a", "b"))
+    discard(segments, pairs)
+    return links
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,8 +224,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     often = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     lists = written(posted.join(often, "token").distinct())
-    involved = lists.select("c").distinct().join(firsts, "c").select("doc_id").distinct()
-    segments = written(_segments(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words, shared))
     fits = (100 * F.least("na", "nb").cast("long")) >= (percent * F.greatest("na", "nb").cast("long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -228,7 +235,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     leaders = lists.groupBy("token", "band").agg(F.min(F.struct("n", "c")).alias("m"))
     stars = lists.join(leaders, ["token", "band"]).select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.c").alias("b"), F.col("m.n").alias("nb")).where("a <> b")
-    links = written(_links(ordered(stars), segments, percent))
+    links = _links(ordered(stars), docs, firsts, words, percent, shared)
     found = components(links)
     grouped = lists.join(found, lists["c"] == found["node"], "left").select("token", "c", "n", F.coalesce("component", "c").alias("g"))
     mixed = grouped.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
@@ -240,7 +247,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     left = grouped.select("token", F.col("g").alias("gx"), F.col("c").alias("a"), F.col("n").alias("na"))
     right = grouped.select("token", F.col("g").alias("gy"), F.col("c").alias("b"), F.col("n").alias("nb"))
     rest = ordered(apart.join(left, ["token", "gx"]).join(right, ["token", "gy"]).select("a", "na", "b", "nb"))
-    found = components(links.unionByName(_links(rest, segments, percent)))
+    found = components(links.unionByName(_links(rest, docs, firsts, words, percent, shared)))
     named = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", "first_id", F.coalesce("component", "c").alias("g"))
     smallest = named.groupBy("g").agg(F.min("first_id").alias("component_id"))
     of = named.join(smallest, "g").select("c", "n", "h2", "component_id")

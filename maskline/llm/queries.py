@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskline.llm import chat, html, jaccard, langid, packing, pieces, tokenfile, toxicity
+from maskline.llm import ann, chat, html, jaccard, langid, neardup, packing, pieces, tokenfile, toxicity
 from maskline.llm.common import crc_mod, table
 
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
@@ -34,6 +38,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(docs, path).drop("text"), path)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -55,7 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_language_id, op3_toxicity, op4_sentencepiece, op6_token_files, op7_ngram_jaccard, op8_packing, op9_html_text, op10_chat_format)
+    ops = (op1_language_id, op2_embedding_neardup, op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_ngram_jaccard, op8_packing, op9_html_text, op10_chat_format)
     return {f.__name__: f for f in ops}
 
 
