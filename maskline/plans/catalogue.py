@@ -5,11 +5,256 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskline.functions import masks
+from maskline.operators import detect, evaluate, layout, ner, policy, redact, regions
+from maskline.plans import inputs, oracle
+from maskline.plans.inputs import from_sql, table
+from maskline.sources import ingest
+from maskline.streaming import retention
+
+FINDING = ["type", "value", "start", "end", "confidence", "normalized_value"]
+
+
+def _only(kind: str) -> tuple[detect.Detector, ...]:
+    return tuple(d for d in detect.DETECTORS if d.type == kind)
+
+
+def _found(pages: DataFrame, key: str, kind: str, text: str = "text") -> DataFrame:
+    return detect.detect(pages, [key], text, _only(kind)).select(key, *FINDING)
+
+
+def r1_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(table(spark, sf_dir, "documents"), "doc_id", "EMAIL")
+
+
+def r1_email_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(table(spark, sf_dir, "pages"), "page_id", "EMAIL", "html")
+
+
+def r8_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(table(spark, sf_dir, "documents"), "doc_id", "CARD_NUMBER")
+
+
+def r8_card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(table(spark, sf_dir, "pages"), "page_id", "CARD_NUMBER", "html")
+
+
+def r2_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(from_sql(spark, sf_dir, inputs.PHONE_TEXTS), "c_custkey", "PHONE")
+
+
+def r3_tckn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(from_sql(spark, sf_dir, inputs.ID_TEXTS), "c_custkey", "TCKN")
+
+
+def r5_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(from_sql(spark, sf_dir, inputs.IBAN_TEXTS), "c_custkey", "IBAN")
+
+
+def _document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    return policy.enrich(redact.masked(found))
+
+
+def detect_all_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = ["confidence_level", "privacy_status", "redaction_action", "finding_id"]
+    return _document_findings(spark, sf_dir).select("doc_id", *FINDING, "detector_ord", *graded, "mask")
+
+
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.summary(table(spark, sf_dir, "documents"), _document_findings(spark, sf_dir))
+
+
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = detect.detect(docs, ["doc_id"])
+    out = redact.redact(docs, found)
+    return out.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
+
+
+def _masks(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return from_sql(spark, sf_dir, oracle.VALUES[kind]).select("id", "value", masks.mask_value(F.col("value"), F.lit(kind)).alias("masked"))
+
+    return run
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.enrich(from_sql(spark, sf_dir, oracle.MIXED))
+
+
+def grade_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = policy.percent_label(F.col("confidence"))
+    return _graded(spark, sf_dir).select("doc_id", "type", "confidence", "confidence_level", "privacy_status", "redaction_action", "finding_id", label.alias("label"))
+
+
+def select_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _graded(spark, sf_dir)
+    asked = graded.where("doc_id % 2 = 0").select("doc_id", "finding_id")
+    return policy.select_for_redaction(graded, asked).select("doc_id", "finding_id", "redaction_action")
+
+
+def nothing_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _graded(spark, sf_dir)
+    return policy.nothing_selected(graded.select("doc_id"), policy.with_action(graded))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, oracle.CELLS)
+
+
+def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_text(_cells(spark, sf_dir), ["conv_id"], "row", "column_no")
+
+
+def cell_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_offsets(_cells(spark, sf_dir), ["conv_id"], "row", "column_no").select("conv_id", "row", "column_no", "start", "end")
+
+
+def cell_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = layout.line_offsets(_cells(spark, sf_dir), ["conv_id"], "row", "column_no")
+    found = from_sql(spark, sf_dir, oracle.SPANS).withColumn("mask", F.repeat(F.lit("*"), F.col("end") - F.col("start")))
+    hit = layout.part_masks(layout.locate(found, cells, ["conv_id"], "cell_text"))
+    return hit.select("conv_id", "finding", "row", "column_no", "match_start", "match_end", "matched_text", "mask_slice")
+
+
+def run_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("run", "word"))
+    return layout.prefix_offsets(runs, ["conv_id", "turn"], ["run"], "word", 1).select("conv_id", "turn", "run", "start", "end")
+
+
+def block_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("kind"))
+    return layout.block_counters(blocks, ["conv_id"], "turn").select("conv_id", "turn", "kind", "kind_index")
+
+
+def ner_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = from_sql(spark, sf_dir, oracle.NER_PAGES)
+    merged = ner.merge(from_sql(spark, sf_dir, oracle.NER_ENTITIES), pages, ["page"])
+    return merged.select("page", "type", "value", "start", "end", "confidence")
+
+
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxed = from_sql(spark, sf_dir, oracle.REGIONS)
+    boxed = boxed.select("page", "region_ord", "start", "end", regions.bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"))
+    return regions.region_boxes(from_sql(spark, sf_dir, oracle.REGION_FINDINGS), boxed, ["page"], ["finding"]).withColumn("box_ord", F.col("box_ord").cast("long"))
+
+
+def _pair_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = from_sql(spark, sf_dir, oracle.BOX_PAIRS)
+    box = lambda p: regions.bbox(*(F.col(f"{p}{s}") for s in regions.SIDES))
+    return d.select("id", box("a").alias("a"), box("b").alias("b"))
+
+
+def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _pair_boxes(spark, sf_dir).select("id", F.round(regions.intersection_area(a, b), 6).alias("area"), F.round(regions.overlap_ratio(a, b), 6).alias("ratio"))
+
+
+def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = regions.bbox(*(F.col(s) for s in regions.SIDES)).alias
+    pages = from_sql(spark, sf_dir, oracle.CLASS_PAGES).select("page", "text", box("rect"))
+    images = from_sql(spark, sf_dir, oracle.CLASS_IMAGES).select("page", "image_ord", box("bbox"))
+    words = from_sql(spark, sf_dir, oracle.CLASS_WORDS).select("page", box("bbox"))
+    return regions.classify_pages(pages, images, words, ["page"]).select("page", "page_class")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = from_sql(spark, sf_dir, oracle.HYBRID)
+    return s.select("page", "span_ord", "line_number", "text", regions.span_source(F.col("font")).alias("source"), regions.bbox(*(F.col(x) for x in regions.SIDES)).alias("bbox"))
+
+
+def hybrid_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.drop_duplicate_spans(_spans(spark, sf_dir), ["page"]).select("page", "span_ord", "source")
+
+
+def hybrid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.hybrid_text(_spans(spark, sf_dir), ["page"])
+
+
+def rect_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = from_sql(spark, sf_dir, oracle.RECTS)
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 3).cast("int").alias("occurrence"), F.lit(3).alias("occurrences"))
+    return regions.allocate_rectangles(found, rects, ["page"]).select("page", "occurrence", "rect_ord", "rect_index")
+
+
+def fragment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("value"), F.split("p_name", " ").alias("words"))
+    return parts.select("p_partkey", F.posexplode(regions.fragment_starts(F.col("value"), F.col("words"))).alias("rect_index", "start"))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.compare(from_sql(spark, sf_dir, oracle.GOLD), from_sql(spark, sf_dir, oracle.PREDICTED))
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.withColumns({m: F.round(m, 6) for m in ("precision", "recall", "f1")})
+
+
+def eval_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.sweep(_compared(spark, sf_dir)))
+
+
+def eval_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.best(evaluate.sweep(_compared(spark, sf_dir))))
+
+
+def eval_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.per_type(_compared(spark, sf_dir), 0.5))
+
+
+def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.errors(_compared(spark, sf_dir), from_sql(spark, sf_dir, oracle.PREDICTED), 0.5)
+
+
+def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = from_sql(spark, sf_dir, oracle.FILES).withColumn("content", F.encode("content", "UTF-8"))
+    files = files.withColumn("entries", F.when(F.col("kind") == 1, F.array(F.struct(F.lit("[Content_Types].xml").alias("name"), F.lit(10).cast("long").alias("file_size"), F.lit(5).cast("long").alias("compress_size"), F.lit(0).alias("flag_bits")), F.struct(F.lit("word/document.xml").alias("name"), F.col("entry_size").alias("file_size"), F.lit(100).cast("long").alias("compress_size"), F.col("flags").alias("flag_bits")))))
+    return ingest.gate(files).select("id", "ingest_status", "http_code", ingest.extension(F.col("filename")).alias("extension"))
+
+
+def uuid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, oracle.UUIDS).select("id", ingest.is_document_id(F.col("doc")).alias("valid"))
+
+
+def zip_name_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, oracle.NAMES).select("id", ingest.is_unsafe_name(F.col("name")).alias("unsafe"))
+
+
+def resolve_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.resolve_format(from_sql(spark, sf_dir, oracle.SOURCES))
+
+
+def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return ingest.delete(docs, table(spark, sf_dir, "labels").where("toxic = 1"))
+
+
+def retention_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touches = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts")
+    end = touches.agg(F.max("ts")).first()[0]
+    gone = retention.stale(touches, F.lit(end))
+    return gone.select("doc_id", F.col("age_s").cast("long").alias("age_s"))
+
+
+def retention_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touches = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts")
+    return retention.sessions(touches).select("doc_id", F.unix_micros(F.to_timestamp_ltz("opened")).alias("opened_us"), F.unix_micros(F.to_timestamp_ltz("expired")).alias("expired_us"), "touches")
+
+
+QUERIES = (
+    r1_email, r1_email_pages, r8_card_luhn, r8_card_pages, r2_phone, r3_tckn, r5_iban, detect_all_enriched, findings_summary, redact_text, grade_findings, select_review,
+    nothing_selected, sheet_text, cell_offsets, cell_matches, run_offsets, block_counters, ner_merge, region_boxes, bbox_overlap, page_class, hybrid_dedupe, hybrid_text,
+    rect_allocation, fragment_starts, eval_sweep, eval_best, eval_per_type, eval_errors, ingest_gate, uuid_check, zip_name_guard, resolve_format, delete_documents,
+    retention_stale, retention_sessions,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in QUERIES} | {f"mask_{k.lower()}": _masks(k) for k in oracle.VALUES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
