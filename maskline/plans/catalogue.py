@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from maskline.functions import masks
 from maskline.operators import detect, evaluate, layout, ner, policy, redact, regions
 from maskline.plans import inputs, oracle
 from maskline.plans.inputs import from_sql, table
-from maskline.sources import ingest
+from maskline.sources import ingest, office
 from maskline.streaming import retention
 
 FINDING = ["type", "value", "start", "end", "confidence", "normalized_value"]
@@ -244,11 +246,51 @@ def retention_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.sessions(touches).select("doc_id", F.unix_micros(F.to_timestamp_ltz("opened")).alias("opened_us"), F.unix_micros(F.to_timestamp_ltz("expired")).alias("expired_us"), "touches")
 
 
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A file for each conversation, its turns as paragraphs or rows."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def build(batches):
+        for batch in batches:
+            made = []
+            for rows in batch["turns"]:
+                if kind == "docx":
+                    made.append(office.make_docx([[r["role"], r["text"]] for r in rows]))
+                else:
+                    made.append(office.make_xlsx({"chat": [[int(r["turn"]), r["role"], r["text"]] for r in rows]}))
+            yield batch[["doc_id"]].assign(content=made)
+
+    return turns.select(F.col("conv_id").cast("string").alias("doc_id"), "turns").mapInPandas(build, "doc_id string, content binary")
+
+
+def docx_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = office.docx_layout(office.parse_docx(_files(spark, sf_dir, "docx")))
+    return runs.select("doc_id", "paragraph_index", "run_index", "start", "end", "text")
+
+
+def xlsx_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = office.parse_xlsx(_files(spark, sf_dir, "xlsx"))
+    return cells.select("doc_id", "page_number", "sheet_name", "row", "column", "coordinate", "cell_text", "is_formula")
+
+
+def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expiry stream over the events up to its end, run once and read back."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskline-")
+    at = f"{root.rstrip('/')}/retention-{uuid.uuid4().hex}"
+    state = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.to_timestamp_ltz("ts").alias("ts"))
+    events.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    retention.run_sweeps(retention.expire_stream(stream), f"{at}/out", f"{at}/state", once=True).awaitTermination()
+    return spark.read.schema("doc_id long, last_touch timestamp").parquet(f"{at}/out")
+
+
 QUERIES = (
     r1_email, r1_email_pages, r8_card_luhn, r8_card_pages, r2_phone, r3_tckn, r5_iban, detect_all_enriched, findings_summary, redact_text, grade_findings, select_review,
     nothing_selected, sheet_text, cell_offsets, cell_matches, run_offsets, block_counters, ner_merge, region_boxes, bbox_overlap, page_class, hybrid_dedupe, hybrid_text,
     rect_allocation, fragment_starts, eval_sweep, eval_best, eval_per_type, eval_errors, ingest_gate, uuid_check, zip_name_guard, resolve_format, delete_documents,
-    retention_stale, retention_sessions,
+    retention_stale, retention_sessions, docx_parse, xlsx_parse, retention_stream,
 )
 
 

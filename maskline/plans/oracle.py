@@ -237,5 +237,10 @@ select page, span_ord, source from s where not (source = 'ocr' and exists (selec
         "retention_stale": "select doc_id, cast(trunc(age) as bigint) as age_s from (select user_id as doc_id, (epoch_us((select max(ts) from events)) - epoch_us(max(ts))) / 1e6 as age from events group by 1) x where age >= 3600",
         "retention_sessions": """select doc_id, min(us) as opened_us, max(us) + 3600000000 as expired_us, count(*) as touches from (select *, sum(case when us - last < 3600000000 then 0 else 1 end) over (partition by doc_id order by us) as n from (
   select user_id as doc_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as last from events) x) y group by doc_id, n""",
+        "docx_parse": """select doc_id, paragraph_index, run_index, cast(e - length(text) as integer) as "start", cast(e as integer) as "end", text from (
+  select *, sum(length(text) + case when run_index = 0 and paragraph_index > 0 then 1 else 0 end) over (partition by doc_id order by paragraph_index, run_index) as e from (
+    select cast(conv_id as varchar) as doc_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as paragraph_index, unnest([0, 1]) as run_index, unnest([role, text]) as text from conversations where text is not null) x) y where text <> ''""",
+        "xlsx_parse": """select doc_id, 1 as page_number, 'chat' as sheet_name, cast(r as integer) as "row", c as "column", ['A', 'B', 'C'][c] || r as coordinate, t as cell_text, false as is_formula from (
+  select cast(conv_id as varchar) as doc_id, row_number() over (partition by conv_id order by turn) as r, unnest([1, 2, 3]) as c, unnest([cast(turn as varchar), role, text]) as t from conversations where text is not null) x""",
     }
     return out | {f"mask_{k.lower()}": f"select id, value, {_mask(k, 'value')} as masked from ({v}) v" for k, v in VALUES.items()}

@@ -222,3 +222,62 @@ def redact_files(files: DataFrame, parts: DataFrame, kind: str) -> DataFrame:
         return file.assign(content=[(write_docx if kind == "docx" else write_xlsx)(raw, texts) for raw in file["content"]])[["doc_id", "content"]]
 
     return files.select("doc_id", "content").groupBy("doc_id").cogroup(parts.select("doc_id", *keys, "new_text").groupBy("doc_id")).applyInPandas(run, "doc_id string, content binary")
+
+
+def make_docx(blocks: list) -> bytes:
+    """A minimal file: a block is a list of runs (paragraph) or a list of rows of cells of paragraphs of runs (table)."""
+    def paragraph(runs: list[str]) -> ET.Element:
+        p = ET.Element(f"{W}p")
+        for text in runs:
+            _set_text(ET.SubElement(p, f"{W}r"), text)
+        return p
+
+    root = ET.Element(f"{W}document")
+    body = ET.SubElement(root, f"{W}body")
+    for block in blocks:
+        if not block or isinstance(block[0], str):
+            body.append(paragraph(block))
+            continue
+        table = ET.SubElement(body, f"{W}tbl")
+        for row in block:
+            tr = ET.SubElement(table, f"{W}tr")
+            for cell in row:
+                tc = ET.SubElement(tr, f"{W}tc")
+                tc.extend(paragraph(p) for p in cell)
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", ET.tostring(root, encoding="utf-8", xml_declaration=True))
+    return out.getvalue()
+
+
+def make_xlsx(sheets: dict[str, list[list]]) -> bytes:
+    """A minimal file of sheets of rows; a cell is None, a string, a number, a bool or (formula, cached text)."""
+    def letters(n: int) -> str:
+        return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+
+    book, links = ET.Element(f"{S}workbook"), ET.Element("Relationships")
+    names, out = ET.SubElement(book, f"{S}sheets"), BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        for n, (name, rows) in enumerate(sheets.items(), 1):
+            ET.SubElement(names, f"{S}sheet", {"name": name, "sheetId": str(n), f"{R}id": f"r{n}"})
+            ET.SubElement(links, "Relationship", {"Id": f"r{n}", "Target": f"worksheets/sheet{n}.xml"})
+            root = ET.Element(f"{S}worksheet")
+            data = ET.SubElement(root, f"{S}sheetData")
+            for i, row in enumerate(rows, 1):
+                r = ET.SubElement(data, f"{S}row", {"r": str(i)})
+                for j, v in enumerate(row, 1):
+                    if v is None:
+                        continue
+                    c = ET.SubElement(r, f"{S}c", {"r": f"{letters(j)}{i}"})
+                    if isinstance(v, tuple):
+                        ET.SubElement(c, f"{S}f").text, v = v
+                        if v is None:
+                            continue
+                    c.set("t", "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "str")
+                    ET.SubElement(c, f"{S}v").text = str(int(v)) if isinstance(v, bool) else str(v)
+            z.writestr(f"xl/worksheets/sheet{n}.xml", ET.tostring(root, encoding="utf-8", xml_declaration=True))
+        z.writestr("xl/workbook.xml", ET.tostring(book, encoding="utf-8", xml_declaration=True))
+        z.writestr("xl/_rels/workbook.xml.rels", ET.tostring(links, encoding="utf-8", xml_declaration=True))
+    return out.getvalue()
