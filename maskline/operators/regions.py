@@ -95,7 +95,7 @@ def fragment_starts(value: Column, fragments: Column) -> Column:
 
     def step(a: Column, x: Column) -> Column:
         at, part = F.element_at(a, -1), strip(x)
-        found = F.when(part != "", F.locate(part, value, 1) * 0 + _find(value, part, at)).otherwise(-1)
+        found = F.when(part != "", _find(value, part, at)).otherwise(-1)
         even = F.bround(F.length(value) * F.size(a) / n.cast("double"), 0).cast("int")
         to = F.when(found < 0, even).otherwise(found)
         return F.concat(a, F.array(F.greatest(at, F.least(to, F.length(value))).cast("int")))
