@@ -56,6 +56,8 @@ class PPM:
         self.contexts: list[_Keys] = []
         self.cost: list[np.ndarray] = []
         self.escape: list[np.ndarray] = []
+        if not m:
+            return
         joined = [(np.frombuffer(b"".join(texts[x]), np.uint8), np.cumsum([0, *map(len, texts[x])])) for x in self.languages]
         for n in range(1, order + 2):
             seen = [np.unique(grams(d, o, n), return_counts=True) for d, o in joined]
