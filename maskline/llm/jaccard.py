@@ -216,22 +216,31 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = rows.where("n > 0").groupBy("c", "n", "h2").agg(F.min("doc_id").alias("first_id"))
     firsts = classes.select("c", F.col("first_id").alias("doc_id"))
     bound = float(np.log(100 / percent))
+    prefixes = written(_prefixes(docs, words, percent, shared).join(firsts, ["c", "doc_id"], "left_semi").select("c", "n", "tokens"))
     posted = (
-        _prefixes(docs, words, percent, shared).join(firsts, ["c", "doc_id"], "left_semi")
-        .select(F.explode("tokens").alias("token"), "c", "n")
+        prefixes.select(F.explode("tokens").alias("token"), "c", "n")
         .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / bound).cast("int"))
         .repartition("token")
     )
     often = posted.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     lists = written(posted.join(often, "token").distinct())
+    discard(prefixes)
     fits = (100 * F.least("na", "nb").cast("long")) >= (percent * F.greatest("na", "nb").cast("long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
+        """One row for each pair that its prefixes leave open.
+
+        The set whose prefix ends first in the order shares with the other only n-grams of both prefixes
+        and of its own rest, so the common n-grams of the prefixes and the longer rest must reach what
+        the overlap has to.
+        """
         low = F.col("a") < F.col("b")
-        return pairs.where(fits).select(
+        met = pairs.where(fits).select(
             F.least("a", "b").alias("a"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"),
             F.greatest("a", "b").alias("b"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"),
-        ).distinct()
+        ).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"))
+        rest = F.ceil(F.greatest("na", "nb").cast("long") * percent / 100.0 - 1e-9) - 1
+        return met.where((F.col("k") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb")).cast("long")).drop("k")
 
     leaders = lists.groupBy("token", "band").agg(F.min(F.struct("n", "c")).alias("m"))
     stars = lists.join(leaders, ["token", "band"]).select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.c").alias("b"), F.col("m.n").alias("nb")).where("a <> b")
