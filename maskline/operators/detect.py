@@ -53,11 +53,13 @@ def candidates(pages: DataFrame, keys: Sequence[str], text: str = "text", detect
     keys name a page. Only pages with matches go on; offsets are sums over each page's own pieces,
     for which only their lengths are moved.
     """
-    clean = F.translate(F.col(text), OPEN + CLOSE, chr(0xFFFD) * 2)
+    t = F.col(text)
+    clean = F.when(t.contains(OPEN) | t.contains(CLOSE), F.translate(t, OPEN + CLOSE, chr(0xFFFD) * 2)).otherwise(t)
     found = F.array(*[F.struct(F.lit(i).alias("detector_ord"), _split(F.col("_text"), d).alias("pieces")) for i, d in enumerate(detectors)])
     pieces = (
         pages.where(F.col(text).isNotNull()).select(*keys, clean.alias("_text"))
-        .select(*keys, F.explode(F.filter(found, lambda x: F.size(x["pieces"]) > 1)).alias("f"))
+        # outer: else the optimiser repeats the whole search in a filter in front
+        .select(*keys, F.explode_outer(F.filter(found, lambda x: F.size(x["pieces"]) > 1)).alias("f")).where("f is not null")
         .select(*keys, F.col("f.detector_ord").alias("detector_ord"), F.posexplode("f.pieces").alias("k", "piece"))
         .select(*keys, "detector_ord", "k", F.when(F.col("k") > 0, F.substring_index("piece", CLOSE, 1)).alias("value"),
                 (F.length("piece") - F.when(F.col("k") > 0, 1).otherwise(0)).alias("n"))
