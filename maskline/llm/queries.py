@@ -92,5 +92,32 @@ select conv_id, turn, kind, call_id, cast(0 as integer) as level, n_results, pro
 """
 
 
+#: All pairs of a label, then what links reach.
+NEARDUP_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93),
+reach as (select vec_id, vec_id as r from embeddings union select reach.vec_id, links.b from reach join links on links.a = reach.r),
+n as (select a, count(*) as n from links group by 1)
+select vec_id, coalesce(max(n.n), 0) as n_links, min(r) as component_id, vec_id = min(r) as kept from reach left join n on n.a = vec_id group by vec_id
+"""
+#: Words, their runs of four as a set, overlaps of all sets that share one, then what links reach.
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+k as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select k.a, k.b from k join n x on x.doc_id = k.a join n y on y.doc_id = k.b where 100 * k.k >= 85 * (x.n + y.n - k.k)),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r) as component_id from reach d left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": CHAT_SQL}
+    return {"op2_embedding_neardup": NEARDUP_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op10_chat_format": CHAT_SQL}
