@@ -7,12 +7,13 @@ cut into fragments of equal mass, each set into one segment for each fragment, o
 fragment by fragment and summed for each pair.
 
 Equal sets are one class. A pair of classes is only looked at while it can still join two components:
-first each class with the smallest of its posting list and size band, then, exactly, all classes of
-different components that share a posting list.
+first each class with a few of its posting list and size band, then, exactly, all classes of different
+components that share enough of their prefixes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import components, discard, written
+from maskline.llm.common import components, discard, local_components, written
 from maskline.llm.words import EXACT, FOLD, SPACE, mix, slices, spans, text_buffer
 
-#: The sketch has 2**SKETCH_BITS counters (4 bytes each) whatever the input; it only orders n-grams.
-SKETCH_BITS, BLOCK, FRAGMENTS = 19, 4096, 8
+#: The sketch has a counter (4 bytes) for each LOAD n-grams, 2**MOST_BITS at most; it only orders n-grams.
+LEAST_BITS, MOST_BITS, LOAD, BLOCK, FRAGMENTS = 12, 24, 64, 4096, 8
+#: Rounds, and in each the classes of a posting list that all its others are held against.
+ROUNDS, LEADERS = 2, 3
+#: Classes that are compared with each other in one task, on average.
+CELL = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,8 +70,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int, fold: bool = Tru
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Size of the sketch by the table's bytes, taking six for a word."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size // (6 * LOAD)))))))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -84,11 +95,11 @@ def fingerprints(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _signed(out[0]), _signed(out[1])
 
 
-def _scan(docs: DataFrame, words: int) -> DataFrame:
+def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """A row (doc_id, n, h1, h2) for each document, and each task's part of the sketch (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << bits, np.int32)
 
         def rows(ids, n, h1, h2, block, counts) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -97,33 +108,34 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, sizes = shingle_sets(*text_buffer(part.column("text")), words)
-                sketch += np.bincount(_bucket(h), minlength=len(sketch))
+                at, count = np.unique(_bucket(h, bits), return_counts=True)
+                sketch[at] += count.astype(np.int32)
                 none = [None] * len(sizes)
                 yield rows(part.column("doc_id").cast(pa.int64()), sizes.astype(np.int32), *fingerprints(h, sizes), none, none)
         blocks = sketch.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         none = [None] * len(used)
-        yield rows(none, none, none, none, used.astype(np.int32), [np.minimum(blocks[i], 2**31 - 1).astype("<i4").tobytes() for i in used])
+        yield rows(none, none, none, none, used.astype(np.int32), [zlib.compress(blocks[i].astype("<i4").tobytes(), 1) for i in used])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, block int, counts binary")
 
 
-def _sketch(scan: DataFrame) -> np.ndarray:
-    """The counters, summed over tasks in two steps; 4 * 2**SKETCH_BITS bytes come to the driver."""
+def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
+    """The counters, summed over tasks in two steps; at most 4 * 2**bits bytes come to the driver."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i4")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+            total += np.frombuffer(zlib.decompress(c), "<i4")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype("<i4").tobytes(), 1)]})
 
     parts = scan.where("block is not null").select("block", "counts", (F.spark_partition_id() % 16).alias("salt"))
     for keys in (["block", "salt"], ["block"]):
         parts = parts.groupBy(*keys).applyInPandas(add, "block int, counts binary").withColumn("salt", F.lit(0))
-    out = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.int32).reshape(-1, BLOCK)
-    for r in parts.collect():
-        out[r["block"]] = np.frombuffer(r["counts"], "<i4")
+    out = np.zeros(1 << bits, np.int32).reshape(-1, BLOCK)
+    for r in parts.toLocalIterator():
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i4")
     return out.reshape(-1)
 
 
@@ -140,12 +152,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """(doc_id, c, n, tokens): the first n-grams of each set in the global order; c is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value[0]
+        sketch, bits = shared.value[0], shared.value[2]
         for batch in batches:
             for part in slices(batch):
                 h, sizes = shingle_sets(*text_buffer(part.column("text")), words)
                 c, _ = fingerprints(h, sizes)
-                often = sketch[_bucket(h)]
+                often = sketch[_bucket(h, bits)]
                 tokens, at = [], 0
                 for n in sizes.tolist():
                     k = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -164,12 +176,12 @@ def _segments(docs: DataFrame, words: int, shared) -> DataFrame:
     """(c, n, fragment, part): each set cut into its segments; empty ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fragment = shared.value[1]
+        fragment, bits = shared.value[1:]
         for batch in batches:
             for rows in slices(batch):
                 h, sizes = shingle_sets(*text_buffer(rows.column("text")), words)
                 c, _ = fingerprints(h, sizes)
-                key = np.repeat(np.arange(len(sizes)), sizes) * FRAGMENTS + fragment[_bucket(h)]
+                key = np.repeat(np.arange(len(sizes)), sizes) * FRAGMENTS + fragment[_bucket(h, bits)]
                 order = np.argsort(key, kind="stable")
                 key, h = key[order], h[order]
                 first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -198,6 +210,71 @@ def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, per
     return links
 
 
+def overlaps(sets: list[list[np.ndarray]]) -> np.ndarray:
+    """Sizes of all intersections of a few sets, each given as its segments: counted by fragment and summed."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    for f in range(FRAGMENTS):
+        size = np.array([len(x[f]) for x in sets])
+        token, column, count = np.unique(np.concatenate([x[f] for x in sets]), return_inverse=True, return_counts=True)
+        owner, column = np.repeat(np.arange(m), size), column.reshape(-1)
+        shared = count > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        owner, column = owner[keep], number[column[keep]]
+        for lo in range(0, int(shared.sum()), 4096):
+            at = (column >= lo) & (column < lo + 4096)
+            met = np.zeros((m, min(4096, int(shared.sum()) - lo)), np.float32)
+            met[owner[at], column[at] - lo] = 1
+            out += (met @ met.T).astype(np.int64)
+    return out
+
+
+def _settle(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, percent: int, shared) -> DataFrame:
+    """Links (a, b) that join what all similar ones among the pairs join; the pairs are never moved with sets.
+
+    Classes that pairs connect are a family. Small families share a cell of about CELL classes; a larger
+    one is cut into blocks of about CELL / 2, and each two blocks, or one with itself, are a cell. All
+    sets of a family in a cell are compared, fragment by fragment, and one link for each class leaves it.
+    """
+    pairs = written(pairs)
+    family = written(components(pairs.select("a", "b")))
+    half = CELL // 2
+    size = family.groupBy("component").agg(F.count("*").alias("m"))
+    total = family.count()
+    of = family.join(size, "component").withColumn("cuts", F.when(F.col("m") <= half, 1).otherwise(F.ceil(F.col("m") / half)).cast("int"))
+    mine = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    group = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, total // CELL)))).otherwise(F.col("component"))
+    cells = of.select(F.col("node").alias("c"), "component", group.alias("group"), (F.col("cuts") > 1).alias("large"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"))
+    cells = cells.select("c", "component", "group", "large", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    ids = family.select(F.col("node").alias("c")).join(firsts, "c").select("doc_id").distinct()
+    segments = written(_segments(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), words, shared))
+    sets = segments.groupBy("c", "n").agg(F.collect_list(F.struct("fragment", "part")).alias("parts"))  # FRAGMENTS of them
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        family, c, n = (table.column(x).to_numpy() for x in ("component", "c", "n"))
+        order = np.argsort(family, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            sets = []
+            for parts in table.column("parts").take(pa.array(at)).to_pylist():
+                x = [np.zeros(0, np.int64)] * FRAGMENTS
+                for p in parts:
+                    x[p["fragment"]] = np.array(p["part"], np.int64)
+                sets.append(x)
+            k, size = overlaps(sets), n[at].astype(np.int64)
+            i, j = np.nonzero(np.triu(k * (100 + percent) >= percent * (size[:, None] + size[None, :]), 1))
+            root = local_components(len(at), i, j)
+            linked = np.flatnonzero(root != np.arange(len(at)))
+            a.append(c[at[linked]])
+            b.append(c[at[root[linked]]])
+        return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
+
+    links = written(cells.join(sets, "c").groupBy("group", "large", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    discard(segments, pairs, family)
+    return links
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; others are left unread).
 
@@ -209,10 +286,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = written(_scan(docs, words))
+    bits = sketch_bits(docs)
+    scan = written(_scan(docs, words, bits))
     rows = scan.where("n is not null").select("doc_id", "n", F.col("h1").alias("c"), "h2")
-    sketch = _sketch(scan)
-    shared = spark.sparkContext.broadcast((sketch, _fragments(sketch)))
+    sketch = _sketch(scan, bits)
+    shared = spark.sparkContext.broadcast((sketch, _fragments(sketch), bits))  # 5 bytes a counter
     classes = rows.where("n > 0").groupBy("c", "n", "h2").agg(F.min("doc_id").alias("first_id"))
     firsts = classes.select("c", F.col("first_id").alias("doc_id"))
     bound = float(np.log(100 / percent))
@@ -242,13 +320,24 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         rest = F.ceil(F.greatest("na", "nb").cast("long") * percent / 100.0 - 1e-9) - 1
         return met.where((F.col("k") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb")).cast("long")).drop("k")
 
-    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("n", "c")).alias("m"))
-    stars = lists.join(leaders, ["token", "band"]).select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.c").alias("b"), F.col("m.n").alias("nb")).where("a <> b")
-    links = _links(ordered(stars), docs, firsts, words, percent, shared)
-    found = components(links)
-    grouped = lists.join(found, lists["c"] == found["node"], "left").select("token", "c", "n", F.coalesce("component", "c").alias("g"))
-    mixed = grouped.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    grouped = written(grouped.join(mixed, "token"))
+    def regrouped(grouped: DataFrame, links: DataFrame) -> DataFrame:
+        """Posting lists by component; those of one component are done."""
+        found = components(links)
+        named = grouped.drop("g").join(found, F.col("c") == found["node"], "left").withColumn("g", F.coalesce("component", "c")).drop("node", "component")
+        mixed = named.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
+        out = written(named.join(mixed, "token"))
+        discard(grouped)
+        return out
+
+    grouped, links = lists.withColumn("g", F.col("c")), None
+    for k in range(ROUNDS):
+        seats = [F.min(F.struct(F.xxhash64("c", F.lit(k * LEADERS + i)).alias("h"), "c", "n", "g")) for i in range(LEADERS)]
+        leaders = grouped.groupBy("token", "band").agg(F.array(*seats).alias("m"))
+        stars = grouped.join(leaders, ["token", "band"]).select("c", "n", "g", F.explode(F.array_distinct("m")).alias("m"))
+        stars = stars.where("g <> m.g").select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("m.c").alias("b"), F.col("m.n").alias("nb"))
+        new = _links(ordered(stars), docs, firsts, words, percent, shared)
+        links = new if links is None else links.unionByName(new)
+        grouped = regrouped(grouped, links)
     groups = grouped.groupBy("token", "g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
     x = groups.select("token", F.col("g").alias("gx"), F.col("n0").alias("lx"), F.col("n1").alias("hx"))
     y = groups.select("token", F.col("g").alias("gy"), F.col("n0").alias("ly"), F.col("n1").alias("hy"))
@@ -256,7 +345,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     left = grouped.select("token", F.col("g").alias("gx"), F.col("c").alias("a"), F.col("n").alias("na"))
     right = grouped.select("token", F.col("g").alias("gy"), F.col("c").alias("b"), F.col("n").alias("nb"))
     rest = ordered(apart.join(left, ["token", "gx"]).join(right, ["token", "gy"]).select("a", "na", "b", "nb"))
-    found = components(links.unionByName(_links(rest, docs, firsts, words, percent, shared)))
+    found = components(links.unionByName(_settle(rest, docs, firsts, words, percent, shared)))
     named = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", "first_id", F.coalesce("component", "c").alias("g"))
     smallest = named.groupBy("g").agg(F.min("first_id").alias("component_id"))
     of = named.join(smallest, "g").select("c", "n", "h2", "component_id")
