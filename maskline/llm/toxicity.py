@@ -13,7 +13,7 @@ from maskline.llm.common import bounded_sample
 from maskline.llm.words import EXACT, FOLD, SpanTable, distinct, mix, slices, spans, text_buffer
 
 #: What the model is fitted on at most: labelled texts and bytes of them, for each class.
-LEARN_ROWS, LEARN_BYTES = 3000, 6 << 20
+LEARN_ROWS, LEARN_BYTES = 3000, 5 << 20
 BUCKET_BITS, DIMENSIONS, SEED = 17, 2, 11
 GRAMS = (3, 4, 5)
 #: Passes over the sample, step, shrinkage of embeddings a pass, and the (word, text) pairs that a
@@ -22,6 +22,8 @@ EPOCHS, STEP, DECAY, SUPPORT = 80, 1.0, 0.02, 30
 THRESHOLD = 0.3
 #: Distinct words that a worker remembers.
 CACHE = 1_500_000
+#: Words whose features are found at once.
+CHUNK = 8192
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[*range(33), *b".,;:!?|()[]{}<>\"/\\`"]] = True
 
@@ -32,7 +34,10 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     The word stands between < and >. A-Z are folded before, so the bytes of words arrive as they are.
     """
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if len(words) > CHUNK:  # the working arrays take some hundred bytes a letter
+        parts = [features(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     raw = np.frombuffer(b"".join(b"<" + w.lower() + b">" for w in words), np.uint8)
     size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     end = np.cumsum(size)
@@ -54,7 +59,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(words)))
     bucket, own = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return bucket[order], np.bincount(own, minlength=len(words))
+    return bucket[order].astype(np.int32), np.bincount(own, minlength=len(words))
 
 
 class Model:
@@ -104,11 +109,15 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     pair, count = np.unique(doc * n_words + word, return_counts=True)
     text_of, word_of = pair // max(n_words, 1), pair % max(n_words, 1)
     share = count / np.bincount(doc, minlength=n_texts)[text_of]
-    owner = np.repeat(np.arange(n_words), size)
+    text_of, word_of = text_of.astype(np.int32), word_of.astype(np.int32)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), size)
+    del data, off, doc, s, e, h, at, word, raw, pair, count
     met = np.bincount(bucket, weights=np.bincount(word_of, minlength=n_words)[owner], minlength=1 << BUCKET_BITS)
     learned = met[bucket] >= SUPPORT
     owner = owner[learned]
     used, local = np.unique(bucket[learned], return_inverse=True)
+    local = local.astype(np.int32)
+    del bucket, met, learned
     E = rng.normal(0, 0.05, (len(used), DIMENSIONS))
     mass = np.array([weights[labels == k].sum() for k in (0, 1)])
     b = np.log(mass / mass.sum())
