@@ -26,8 +26,8 @@ from maskline.llm.words import EXACT, FOLD, SPACE, mix, slices, spans, text_buff
 
 #: The sketch has a counter (4 bytes) for each LOAD n-grams, 2**MOST_BITS at most; it only orders n-grams.
 LEAST_BITS, MOST_BITS, LOAD, BLOCK, FRAGMENTS = 12, 24, 64, 4096, 8
-#: Rounds, and in each the classes of a posting list that all its others are held against.
-ROUNDS, LEADERS = 2, 3
+#: Rounds (a second one adds few links for its stages), and in each the classes of a posting list that all its others are held against.
+ROUNDS, LEADERS = 1, 3
 #: Classes that are compared with each other in one task, on average.
 CELL = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -296,7 +296,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     bound = float(np.log(100 / percent))
     prefixes = written(_prefixes(docs, words, percent, shared).join(firsts, ["c", "doc_id"], "left_semi").select("c", "n", "tokens"))
     posted = (
-        prefixes.select(F.explode("tokens").alias("token"), "c", "n")
+        prefixes.select(F.posexplode("tokens").alias("rank", "token"), "c", "n")
         .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / bound).cast("int"))
         .repartition("token")
     )
@@ -338,13 +338,17 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         new = _links(ordered(stars), docs, firsts, words, percent, shared)
         links = new if links is None else links.unionByName(new)
         grouped = regrouped(grouped, links)
-    groups = grouped.groupBy("token", "g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    x = groups.select("token", F.col("g").alias("gx"), F.col("n0").alias("lx"), F.col("n1").alias("hx"))
-    y = groups.select("token", F.col("g").alias("gy"), F.col("n0").alias("ly"), F.col("n1").alias("hy"))
-    apart = x.join(y, "token").where((F.col("gx") < F.col("gy")) & (100 * F.col("hx").cast("long") >= percent * F.col("ly").cast("long")) & (100 * F.col("hy").cast("long") >= percent * F.col("lx").cast("long"))).select("token", "gx", "gy")
-    left = grouped.select("token", F.col("g").alias("gx"), F.col("c").alias("a"), F.col("n").alias("na"))
-    right = grouped.select("token", F.col("g").alias("gy"), F.col("c").alias("b"), F.col("n").alias("nb"))
-    rest = ordered(apart.join(left, ["token", "gx"]).join(right, ["token", "gy"]).select("a", "na", "b", "nb"))
+    # the first common n-gram of a pair: no more than what follows it in either set can be common
+    grouped = grouped.withColumn("room", F.col("n") - F.col("rank"))
+    groups = grouped.groupBy("token", "g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("room").alias("r"))
+    x = groups.select("token", F.col("g").alias("gx"), F.col("n0").alias("lx"), F.col("n1").alias("hx"), F.col("r").alias("rx"))
+    y = groups.select("token", F.col("g").alias("gy"), F.col("n0").alias("ly"), F.col("n1").alias("hy"), F.col("r").alias("ry"))
+    enough = lambda rx, ry, nx, ny: (100 + percent) * F.least(rx, ry).cast("long") >= percent * (F.col(nx) + F.col(ny)).cast("long")
+    apart = x.join(y, "token").where((F.col("gx") < F.col("gy")) & enough("rx", "ry", "lx", "ly") & (100 * F.col("hx").cast("long") >= percent * F.col("ly").cast("long")) & (100 * F.col("hy").cast("long") >= percent * F.col("lx").cast("long"))).select("token", "gx", "gy")
+    left = grouped.select("token", F.col("g").alias("gx"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"))
+    right = grouped.select("token", F.col("g").alias("gy"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"))
+    some = apart.join(left, ["token", "gx"]).join(right, ["token", "gy"]).where(enough("ra", "rb", "na", "nb"))
+    rest = some.where(fits).select("a", "b").distinct()
     found = components(links.unionByName(_settle(rest, docs, firsts, words, percent, shared)))
     named = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", "first_id", F.coalesce("component", "c").alias("g"))
     smallest = named.groupBy("g").agg(F.min("first_id").alias("component_id"))
