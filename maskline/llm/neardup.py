@@ -1,35 +1,49 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors: all pairs of a label, compared in cells."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.llm.common import components, local_components, written
 from maskline.llm.vectors import matrix, usable
 
-#: Passes; vectors of a block, all compared with each other; and of the next block with these.
-PASSES, BLOCK, WINDOW, BITS, SEED = 16, 1024, 512, 62, 5
-
-
-def _keys(x: np.ndarray, p: int, seed: int) -> np.ndarray:
-    """Concatenated signs of random projections as one integer: its order is the lexicographic one."""
-    planes = np.random.default_rng([seed, p, x.shape[1]]).standard_normal((x.shape[1], BITS))
-    return ((x @ planes) > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-
-def _met(low: np.ndarray, high: np.ndarray, block: int, window: int) -> np.ndarray:
-    """Whether ranks low <= high of one pass lie in one block, or high in the next one's window."""
-    a, b = low // block, high // block
-    return (a == b) | ((b == a + 1) & (high % block < window))
+#: Vectors of a part at most (about), and their components in all; a cell compares two parts.
+BLOCK, ROOM = 4096, 1 << 21
+#: Rows of a product made at once.
+STEP = 256
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, block: int = BLOCK, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def compared(x: np.ndarray, y: np.ndarray, m: np.ndarray, k: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each row of x, of each row of y, component of each of x and y) for unit rows x and y of
+    multiplicities m and k; where y is x, each pair counts once. Components are numbers of rows, y after x.
+    """
+    same, n = y is x, len(x)
+    of_x, of_y = np.zeros(n), np.zeros(len(y))
+    root = np.arange(n if same else n + len(y))
+    for lo in range(0, n, STEP):
+        s = x[lo : lo + STEP] @ y.T
+        i, j = np.nonzero(np.abs(s - threshold) < 1e-9)  # sums of another order could fall on the other side
+        s[i, j] = np.where(np.einsum("ij,ij->i", x[lo + i], y[j]) >= threshold, threshold, -2)
+        hit = s >= threshold
+        if same:
+            hit &= np.arange(n)[None] > np.arange(lo, lo + len(s))[:, None]
+        if not hit.any():
+            continue
+        of_x[lo : lo + STEP] += hit @ k
+        of_y += m[lo : lo + STEP] @ hit
+        i, j = np.nonzero(hit)
+        u, v = root[lo + i], root[j if same else n + j]
+        new = u != v
+        if new.any():
+            u, v = np.divmod(np.unique(u[new] * len(root) + v[new]), len(root))
+            root = local_components(len(root), u, v)[root]
+    return of_x, of_y, root
+
+
+def link(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, block: int = BLOCK, window: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Vectors of one label link at a cosine of at least threshold, in double precision. A null label and
@@ -38,12 +52,11 @@ def link(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, bloc
     all link. n_links counts the other rows linked; component_id is the smallest vec_id reachable.
     Repeated vec_ids are rows of their own. Further columns are left unread; no rows give none.
 
-    Each pass sorts the classes by their concatenated hashes. Blocks of the order are compared within
-    and with the first of the next block. A block knows its members' ranks in all passes and counts
-    only pairs that no earlier pass has met, so no table of pairs is made, however large a group is:
-    a block gives one count and one link for each member.
+    The classes of a label and length are dealt by hash over parts of about block vectors, and each two
+    parts meet in one cell, so every pair is compared, once, whatever the size of a group. No table of
+    pairs is made: a cell gives one count and one link for each member that has links. passes and window
+    belonged to a search that left pairs out; they are accepted and change nothing.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"),
         (usable("embedding") & F.col("label").isNotNull()).alias("ok"),
@@ -53,76 +66,33 @@ def link(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, bloc
     classes = written(classes.withColumn("c", F.xxhash64(*key)))
     some = rows.where("ok").withColumn("c", F.xxhash64(*key)).groupBy("c").agg(F.first("label").alias("label"), F.first("v").alias("v"))
     some = written(some.join(classes.select("c", "m"), "c"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.array([len(x) for x in batch.column("v")], int)
-            for d in np.unique(lengths):
-                part = batch.take(pa.array(np.flatnonzero(lengths == d)))
-                x = matrix(part.column("v"))
-                label = pa.array([f"{y}/{d}" for y in part.column("label").to_pylist()], pa.string())
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), label, pa.array(_keys(x, p, seed)), part.column("c")], names=["pass", "group", "key", "c"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("pass"), batch.column("c"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names=["pass", "c", "part", "at"])
-            at += n
-
-    order = ["pass", "group", "key", "c"]
-    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = written(some.mapInArrow(hashed, "pass int, group string, key long, c long"))
-    ranked = written(keyed.repartitionByRange(few, *order).sortWithinPartitions(*order).mapInArrow(numbered, "pass int, c long, part int, at long"))
-    firsts, total = [], 0
-    for r in ranked.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        firsts.append((r["part"], total))
-        total += r["count"]
-    firsts = F.broadcast(spark.createDataFrame(firsts, "part int, first long"))
-    ranks = ranked.join(firsts, "part").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pass", (F.col("first") + F.col("at")).alias("rank")))).alias("r"))
-    spread = (
-        some.join(ranks.select("c", F.col("r.rank").alias("ranks")), "c")
-        .select("c", "m", "label", "v", "ranks", F.posexplode("ranks").alias("pass", "rank"))
-        .withColumn("home", F.floor(F.col("rank") / block))
-        .withColumn("block", F.explode(F.when((F.col("rank") % block < window) & (F.col("home") > 0), F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))))
-    )
+    some = some.withColumn("d", F.size("v"))
+    sizes = some.groupBy("label", "d").agg(F.count("*").alias("n"))
+    parts = sizes.select("label", "d", F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.lit(ROOM) / F.col("d"))))).cast("int").alias("parts"))
+    dealt = some.join(parts, ["label", "d"]).withColumn("part", F.pmod(F.xxhash64("c", F.lit(2)), F.col("parts")).cast("int"))
+    cells = dealt.select("c", "m", "label", "d", "v", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("c", "m", "label", "d", "v", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("rank")
-        c, m, rank = (table.column(x).to_numpy() for x in ("c", "m", "rank"))
-        here = rank // block == table.column("block")[0].as_py()
-        number = table.column("pass").to_numpy()
-        ranks = np.array(table.column("ranks").to_pylist())
-        lengths = np.array([len(v) for v in table.column("v")])
-        _, group = np.unique(np.array([f"{p}/{y}/{d}" for p, y, d in zip(number.tolist(), table.column("label").to_pylist(), lengths.tolist(), strict=True)]), return_inverse=True)
-        pairs = [(np.zeros(0, int), np.zeros(0, int))]
-        for g in range(group.max() + 1):
-            at = np.flatnonzero(group == g)
-            x = matrix(table.column("v").take(pa.array(at)))
-            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            for lo in range(0, len(at), 256):
-                i, j = np.nonzero(x[lo : lo + 256] @ x.T >= threshold - 1e-9)
-                i += lo
-                ok = (i < j) & here[at[i]]
-                i, j = i[ok], j[ok]
-                sure = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-                pairs.append((at[i[sure]], at[j[sure]]))
-        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        new = np.ones(len(i), bool)
-        for q in range(ranks.shape[1]):
-            a, b = ranks[i, q], ranks[j, q]
-            new &= (q >= number[i]) | ~_met(np.minimum(a, b), np.maximum(a, b), block, window)
-        i, j = i[new], j[new]
-        n = np.bincount(i, weights=m[j], minlength=len(c)) + np.bincount(j, weights=m[i], minlength=len(c))
-        root = local_components(len(c), i, j)
+        table = table.combine_chunks().sort_by([("part", "ascending"), ("c", "ascending")])
+        c, m, part = (table.column(x).to_numpy() for x in ("c", "m", "part"))
+        x = matrix(table.column("v"))
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        if low == high:
+            a, b, root = compared(x, x, m, m, threshold)
+            n = a + b
+        else:
+            cut = int(np.searchsorted(part, high))
+            a, b, root = compared(x[:cut], x[cut:], m[:cut], m[cut:], threshold)
+            n = np.concatenate([a, b])
         linked = np.flatnonzero(n)
         return pa.table({"c": c[linked], "n": n[linked].astype(np.int64), "root": c[root[linked]]})
 
-    found = written(spread.groupBy("block").applyInArrow(compare, "c long, n long, root long"))
+    found = written(cells.groupBy("label", "d", "low", "high").applyInArrow(compare, "c long, n long, root long"))
     counts = found.groupBy("c").agg(F.sum("n").alias("n"))
-    parts = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    named = classes.join(parts, classes["c"] == parts["node"], "left").select("c", *key, "id", "m", F.coalesce("component", "c").alias("g"))
+    reach = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    named = classes.join(reach, classes["c"] == reach["node"], "left").select("c", *key, "id", "m", F.coalesce("component", "c").alias("g"))
     smallest = named.groupBy("g").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "g").join(counts, "c", "left").select(*key, "component_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     return rows.select("vec_id", *key).join(of, key, "left").select(

@@ -78,3 +78,13 @@ def test_search(spark):
     assert hits >= 0.9 * 20 * len(got)
     assert ann.search(d.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(d.where("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
+
+
+def test_large_group_of_near_copies(spark):
+    r = np.random.default_rng(4)
+    n, d = 5000, 64
+    x = r.standard_normal(d) + 1e-4 * r.standard_normal((n, d))  # the worst for signs: all agree
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())] + [(n + i, v, 1) for i, v in enumerate(r.standard_normal((500, d)).tolist())]
+    got = neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links[:n] == n - 1).all() and (got.component_id[:n] == 0).all()
+    assert (got.n_links[n:] == 0).all() and got.kept.sum() == 501
