@@ -103,23 +103,43 @@ def nothing_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.nothing_selected(graded.select("doc_id"), policy.with_action(graded))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, oracle.CELLS)
+def _sheet_text(spark: SparkSession, sf_dir: str, cells: str) -> DataFrame:
+    return layout.page_text(from_sql(spark, sf_dir, cells), ["conv_id"], "row", "column_no")
+
+
+def _cell_offsets(spark: SparkSession, sf_dir: str, cells: str) -> DataFrame:
+    return layout.line_offsets(from_sql(spark, sf_dir, cells), ["conv_id"], "row", "column_no").select("conv_id", "row", "column_no", "start", "end")
+
+
+def _cell_matches(spark: SparkSession, sf_dir: str, cells: str, spans: str) -> DataFrame:
+    placed = layout.line_offsets(from_sql(spark, sf_dir, cells), ["conv_id"], "row", "column_no")
+    found = from_sql(spark, sf_dir, spans).withColumn("mask", F.repeat(F.lit("*"), F.col("end") - F.col("start")))
+    hit = layout.part_masks(layout.locate(found, placed, ["conv_id"], "cell_text"))
+    return hit.select("conv_id", "finding", "row", "column_no", "match_start", "match_end", "matched_text", "mask_slice")
 
 
 def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_text(_cells(spark, sf_dir), ["conv_id"], "row", "column_no")
+    return _sheet_text(spark, sf_dir, oracle.CELLS)
 
 
 def cell_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.line_offsets(_cells(spark, sf_dir), ["conv_id"], "row", "column_no").select("conv_id", "row", "column_no", "start", "end")
+    return _cell_offsets(spark, sf_dir, oracle.CELLS)
 
 
 def cell_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = layout.line_offsets(_cells(spark, sf_dir), ["conv_id"], "row", "column_no")
-    found = from_sql(spark, sf_dir, oracle.SPANS).withColumn("mask", F.repeat(F.lit("*"), F.col("end") - F.col("start")))
-    hit = layout.part_masks(layout.locate(found, cells, ["conv_id"], "cell_text"))
-    return hit.select("conv_id", "finding", "row", "column_no", "match_start", "match_end", "matched_text", "mask_slice")
+    return _cell_matches(spark, sf_dir, oracle.CELLS, oracle.SPANS)
+
+
+def sheet_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet_text(spark, sf_dir, oracle.WHOLE_CELLS)
+
+
+def cell_offsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_offsets(spark, sf_dir, oracle.WHOLE_CELLS)
+
+
+def cell_matches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_matches(spark, sf_dir, oracle.WHOLE_CELLS, oracle.WHOLE_SPANS)
 
 
 def run_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +308,7 @@ def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     r1_email, r1_email_pages, r8_card_luhn, r8_card_pages, r2_phone, r3_tckn, r5_iban, detect_all_enriched, findings_summary, redact_text, grade_findings, select_review,
-    nothing_selected, sheet_text, cell_offsets, cell_matches, run_offsets, block_counters, ner_merge, region_boxes, bbox_overlap, page_class, hybrid_dedupe, hybrid_text,
+    nothing_selected, sheet_text, cell_offsets, cell_matches, sheet_text_whole, cell_offsets_whole, cell_matches_whole, run_offsets, block_counters, ner_merge, region_boxes, bbox_overlap, page_class, hybrid_dedupe, hybrid_text,
     rect_allocation, fragment_starts, eval_sweep, eval_best, eval_per_type, eval_errors, ingest_gate, uuid_check, zip_name_guard, resolve_format, delete_documents,
     retention_stale, retention_sessions, docx_parse, xlsx_parse, retention_stream,
 )

@@ -25,6 +25,13 @@ select conv_id, turn as row, 0 as column_no, role as cell_text from conversation
 union all select conv_id, turn, 1, case when turn % 5 = 3 then '' else substring(text, 1, 40) end from conversations
 union all select conv_id, turn, 2, case when turn % 2 = 0 then cast(turn as string) end from conversations
 """
+#: The same sheets with whole texts, and findings that lie deep in their cells.
+WHOLE_CELLS = """
+select conv_id, turn as row, 0 as column_no, role as cell_text from conversations
+union all select conv_id, turn, 1, text from conversations
+union all select conv_id, turn, 2, case when turn % 2 = 0 then cast(turn as string) end from conversations
+"""
+WHOLE_SPANS = "select conv_id, turn as finding, cast(turn * 397 as int) as start, cast(turn * 397 + 350 as int) as end from conversations"
 SPANS = "select conv_id, turn as finding, cast(turn * 23 as int) as start, cast(turn * 23 + 20 as int) as end from conversations"
 _PAGE_TEXT = "concat(n_name, case when n_nationkey % 3 = 0 then '  ' else ', ' end, n_name, ' | ', n_name)"
 NER_PAGES = f"select n_nationkey as page, {_PAGE_TEXT} as text from nation"
@@ -243,4 +250,5 @@ select page, span_ord, source from s where not (source = 'ocr' and exists (selec
         "xlsx_parse": """select doc_id, 1 as page_number, 'chat' as sheet_name, cast(r as integer) as "row", c as "column", ['A', 'B', 'C'][c] || r as coordinate, t as cell_text, false as is_formula from (
   select cast(conv_id as varchar) as doc_id, row_number() over (partition by conv_id order by turn) as r, unnest([1, 2, 3]) as c, unnest([cast(turn as varchar), role, text]) as t from conversations where text is not null) x""",
     }
+    out |= {f"{name}_whole": out[name].replace(CELLS, WHOLE_CELLS).replace(SPANS, WHOLE_SPANS) for name in ("sheet_text", "cell_offsets", "cell_matches")}
     return out | {f"mask_{k.lower()}": f"select id, value, {_mask(k, 'value')} as masked from ({v}) v" for k, v in VALUES.items()}

@@ -67,6 +67,19 @@ def test_rows_and_cells(spark):
     assert [r[0] for r in spans.orderBy("col").select(redact.lay_over(F.col("cell_text"), F.col("m"))).collect()] == ["Hel*o", "W*rld"]
 
 
+def test_whole_cells(spark, tmp_path):
+    from maskline.plans import catalogue
+
+    texts = ["a" * 500, "b" * 30 + "😀" + "c" * 1900, "", "d" * 700]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = catalogue.sheet_text_whole(spark, str(tmp_path)).first().text
+    assert text == f"user | {texts[0]} | 0\nuser | {texts[1]}\nuser | 2\nuser | {texts[3]}"
+    placed = {(r.row, r.column_no): text[r.start : r.end] for r in catalogue.cell_offsets_whole(spark, str(tmp_path)).collect()}
+    assert all(placed.get((i, 1), "") == t for i, t in enumerate(texts)) and len(placed) == 9
+    for r in catalogue.cell_matches_whole(spark, str(tmp_path)).collect():
+        assert r.matched_text == placed[r.row, r.column_no][r.match_start : r.match_end] and r.mask_slice == "*" * len(r.matched_text)
+
+
 def test_regions(spark):
     r = spark.createDataFrame([(1, 0, 0, 5, 0.0), (1, 1, 5, 12, 9.0)], "page int, region_ord int, start int, end int, x double").select("page", "region_ord", "start", "end", regions.bbox(F.col("x"), F.lit(0), F.col("x") + 5, F.lit(1)).alias("bbox"))
     f = spark.createDataFrame([(1, 0, 3, 12)], "page int, finding int, start int, end int")
