@@ -29,16 +29,23 @@ ASIDE_WORDS = frozenset(
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: First words of a class that says what a page or its layout has, not what the element is.
+MODIFIERS = frozenset("has have no not with without hide hides hidden show shows is".split())
 
 
 class Lines(HTMLParser):
-    """The page's blocks in order: (text, tags met since the block before, dropped, path of regions)."""
+    """The page's blocks in order: (text, tags met since the block before, dropped, path of regions, doubtful elements).
+
+    A doubtful element is named after a part of a page in a compound class or id only (sidebar-left, header-fixed).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, its region's number or 0
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, dropped, its region's number or 0, its number among the doubtful or 0
         self.kinds: dict[int, str] = {}
+        self.doubtful = 0
+        self.sound: set[int] = set()  # doubtful elements around a main
         self.text: list[str] = []
         self.tags = 0
         self.dropped = 0
@@ -52,14 +59,14 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.lines.append((text, self.tags, self.dropped > 0, tuple(n for _, _, n in self.stack if n)))
+            self.lines.append((text, self.tags, self.dropped > 0, tuple(n for _, _, n, _ in self.stack if n), tuple(n for _, _, _, n in self.stack if n)))
             self.tags = 0
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
     def _pop(self) -> None:
-        _, dropped, _ = self.stack.pop()
+        _, dropped, _, _ = self.stack.pop()
         self.dropped -= dropped
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -74,12 +81,16 @@ class Lines(HTMLParser):
             self._end_of("p", {"article", "div", "section", "td", "button"})
         if tag == "li":
             self._end_of("li", {"ul", "ol", "menu"})
-        dropped = tag in DROPPED or self._aside(tag, attrs)
+        aside, doubt = self._aside(tag, attrs)
+        dropped = tag in DROPPED or aside
         region = 0
         if tag in REGION:
             region = len(self.kinds) + 1
             self.kinds[region] = tag
-        self.stack.append((tag, dropped, region))
+        if tag == "main" and not dropped:
+            self.sound.update(n for _, _, _, n in self.stack if n)
+        self.doubtful += doubt and not dropped
+        self.stack.append((tag, dropped, region, self.doubtful if doubt and not dropped else 0))
         self.dropped += dropped
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -107,15 +118,20 @@ class Lines(HTMLParser):
                 return
 
     @staticmethod
-    def _aside(tag: str, attrs: list) -> bool:
+    def _aside(tag: str, attrs: list) -> tuple[bool, bool]:
+        """Whether an element isn't the article's own, and whether only a compound name speaks for that."""
         if tag in ("html", "body") or not attrs:
-            return False
+            return False, False
         of = dict(attrs)
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{of.get('class') or ''} {of.get('id') or ''}").lower()))
+        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{of.get('class') or ''} {of.get('id') or ''}").lower().split()
+        named = [[w for w in re.split(r"[^a-z0-9]+", name) if w] for name in names]
+        named = [words for words in named if words and words[0] not in MODIFIERS]
+        words = {w for x in named for w in x}
         if tag in ("article", "main"):
-            return bool(words & COMMENT_WORDS)
+            return bool(words & COMMENT_WORDS), False
         hidden = "hidden" in of or of.get("aria-hidden") == "true" or "display:none" in (of.get("style") or "").replace(" ", "").lower()
-        return hidden or (of.get("role") or "").lower() in ASIDE_ROLES or bool(words & ASIDE_WORDS)
+        firm = hidden or (of.get("role") or "").lower() in ASIDE_ROLES or bool({x[0] for x in named if len(x) == 1} & ASIDE_WORDS or words & COMMENT_WORDS)
+        return firm, not firm and bool(words & ASIDE_WORDS)
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -123,13 +139,24 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, RADIUS), kernel / kernel.sum(), "valid")
 
 
+def _content(lines: list[tuple], dropped: list[bool]) -> np.ndarray:
+    """Which lines are content: their smoothed ratio of characters to tags reaches the ratios' standard deviation."""
+    ratio = np.array([0.0 if out else len(line[0]) / max(line[1], 1) for line, out in zip(lines, dropped, strict=True)])
+    if not ratio.any():
+        return ratio > 0
+    level = smooth(ratio)
+    return (level >= min(float(ratio.std()), float(level.max()))) & (ratio > 0)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line.
 
     Each block is a line with its ratio of characters to tags; menus, notices and the like count as
-    0. Lines whose smoothed ratio reaches the ratios' standard deviation are content. A region is an
-    article or main element with such a line; where there is none, the smallest element that holds most
-    of the content. All lines of the regions are returned but those of menus and the like.
+    0. Lines whose smoothed ratio reaches the ratios' standard deviation are content. A doubtful element
+    that holds most of the content, or a main, is none of the like. Where a content line lies in an
+    article or main element, all such elements are regions; else the smallest element that holds all of
+    the content is. All lines of the regions and all content lines are returned but those of menus and
+    the like.
     """
     if not page:
         return ""
@@ -138,25 +165,24 @@ def main_text(page: str | None) -> str:
     p.close()
     p.flush()
     lines = p.lines
-    ratio = np.array([0.0 if dropped else len(text) / max(tags, 1) for text, tags, dropped, _ in lines])
-    if not ratio.any():
-        return ""
-    level = smooth(ratio)
-    content = (level >= min(float(ratio.std()), float(level.max()))) & (ratio > 0)
-    regions: set[int] = set()
-    for (_, _, _, path), hit in zip(lines, content, strict=True):
-        if hit:
-            regions.update(next(([n] for n in path if p.kinds[n] in ("article", "main")), []))
-    if not regions:
+    dropped = [line[2] for line in lines]
+    if p.doubtful:
         mass: dict[int, int] = {}
-        for (text, _, _, path), hit in zip(lines, content, strict=True):
+        total = 0
+        for (text, _, _, _, doubts), hit in zip(lines, _content(lines, dropped), strict=True):
             if hit:
-                for n in path:
+                total += len(text)
+                for n in doubts:
                     mass[n] = mass.get(n, 0) + len(text)
-        if mass:
-            most = max(mass.values())
-            regions = {max(n for n, m in mass.items() if 2 * m > most)}
-    return "\n".join(text for (text, _, dropped, path), hit in zip(lines, content, strict=True) if not dropped and (regions & set(path) if regions else hit))
+        sound = p.sound | {n for n, m in mass.items() if 2 * m > total}
+        dropped = [line[2] or not sound.issuperset(line[4]) for line in lines]
+    content = _content(lines, dropped)
+    if not content.any():
+        return ""
+    paths = [path for (_, _, _, path, _), hit in zip(lines, content, strict=True) if hit]
+    own = {n for n, kind in p.kinds.items() if kind in ("article", "main")}
+    regions = own if any(own.intersection(path) for path in paths) else set(sorted(set(paths[0]).intersection(*paths))[-1:])
+    return "\n".join(line[0] for line, hit, out in zip(lines, content, dropped, strict=True) if not out and (hit or not regions.isdisjoint(line[3])))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -288,6 +288,20 @@ def test_html(spark):
     assert html.extract(d.where("false")).count() == 0
 
 
+def test_html_keeps_all_content():
+    long = lambda c: f"<p>{' '.join([c * 7] * 40)}</p>"
+    menu = "<nav><a href=x>one</a><a href=y>two</a></nav>"
+    kept = lambda body: {w[0] for w in html.main_text(f"<html><body>{menu}{body}</body></html>").split()}
+    assert kept(f"<div>{long('a') * 3}</div><div>{long('b') * 2}</div>") == {"a", "b"}
+    assert kept(f"<section>{long('a') * 3}</section><section><h2>h</h2>{long('b') * 2}</section>") == {"a", "b", "h"}
+    assert kept(f"<article>{long('a') * 3}</article><article><p>short one</p></article>{long('c') * 3}") == {"a", "s", "o", "c"}
+    for name in ("content has-sidebar", "no-sidebar", "with-sidebar", "header-fixed", "hasSidebar"):
+        assert kept(f"<div class='{name}'>{long('a') * 3}</div>") == {"a"}
+    for name in ("sidebar", "sidebar-left", "site-header", "post-comments", "related-posts"):
+        assert kept(f"<div>{long('a') * 3}</div><div class='{name}'>{long('b')}</div>") == {"a"}
+    assert kept(f"<div>{long('a') * 2}</div><div class='comments'>{long('b') * 9}</div>") == {"a"}
+
+
 def test_chat(spark):
     tools = {"reply": {"prompt": ("string", True)}, "add": {"a": ("integer", True), "b": ("number", False)}}
     calls = '{"tool_calls":[{"id":"x","name":"add","arguments":{"b": 2.5, "a": 1}},{"id":"y","name":"add","arguments":{"a":"one"},"after":["x"]},{"id":"z","name":"gone","arguments":{}},{"id":"p","name":"add","arguments":{"a":1},"after":["q"]},{"id":"q","name":"add","arguments":{"a":1},"after":["p"]}]}'
