@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from maskline.llm import jaccard, langid, packing, toxicity
 from maskline.llm.common import table
 
-#: A document goes as toxic from this probability on; as of no known language where even the best
-#: model needs more bits for a byte than a byte has.
-TOXIC, MOST_BITS = 0.5, 8.0
+#: A document goes as of no known language where even the best model needs more bits for a byte than a
+#: byte has.
+MOST_BITS = 8.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those scored as toxic; the model is learned from all labels. Texts that are null stay if the bias says so."""
+    """docs without those the operator predicts as toxic; the model is learned from all labels. Texts that are null stay if the bias says so."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     names = docs.columns
-    flagged = toxicity.score(docs.select(*names), toxicity.learn(docs, labels), TOXIC)
+    flagged = toxicity.score(docs.select(*names), toxicity.learn(docs, labels))
     return flagged.where("predicted = 0").select(*names)
 
 

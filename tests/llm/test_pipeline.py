@@ -42,3 +42,15 @@ def test_stages(spark, corpus):
     assert len(kept) == len(set(kept)) and clean <= set(kept) and not any(300 <= i < 400 for i in kept)
     packed = corpus_pipeline.run(spark, corpus).collect()
     assert {p.doc_id for p in packed} == set(kept)
+
+
+def test_toxicity_stage_drops_what_the_operator_predicts(spark, corpus, monkeypatch):
+    import numpy as np
+
+    from maskline.llm import stages, toxicity
+
+    model = toxicity.Model(np.zeros((1 << toxicity.BUCKET_BITS, 2)), np.zeros((2, 2)), np.array([0, np.log(0.4 / 0.6)]))  # every score is 0.4
+    monkeypatch.setattr(toxicity, "learn", lambda docs, labels: model)
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    assert toxicity.score(docs, model).where("predicted = 1").count() == docs.count()
+    assert stages.drop_toxic(spark, docs, corpus).count() == 0
