@@ -89,6 +89,17 @@ def bounded_sample(df: DataFrame, group: Column | str, weight: Column, bound: in
     return df.filter(keep)
 
 
+def sliced(df: DataFrame, most: int) -> DataFrame:
+    """df with its texts cut into slices of at most most characters, numbered from null (the first), 1 on.
+
+    Hashes leave nulls out, so a text of one slice is sampled as it is without numbers.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / most)).cast("int")
+    cut = df.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
+    text = F.when(F.length("text") <= most, F.col("text")).otherwise(F.substring("text", F.col("slice") * most + 1, F.lit(most)))
+    return cut.withColumn("text", text).withColumn("slice", F.when(F.col("slice") > 0, F.col("slice")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links to (node, component): the smallest node that links reach, for nodes with links.
 

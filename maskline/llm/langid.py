@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import bounded_sample
+from maskline.llm.common import bounded_sample, sliced
 from maskline.llm.words import STEP, HashIndex, mix, slices, text_buffer
 
 #: Bytes of labelled text that a language is learned from at most, and the longest context.
@@ -126,12 +126,13 @@ class PPM:
 def learn(labelled: DataFrame, bound: int = LEARN_BYTES, order: int = ORDER) -> PPM:
     """The models of the languages in labelled (doc_id, text, lang), from whole texts of a sample.
 
-    The sample has at most bound bytes of each language, chosen by a hash of doc_id over all rows.
+    The sample has at most bound bytes of each language, chosen by a hash of doc_id over all rows. A text
+    of over bound / 64 characters enters in slices of that many, so none is too long to be learned from.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    chosen = bounded_sample(rows, "lang", F.octet_length("text").cast("long"), bound, ["doc_id"])
+    chosen = bounded_sample(sliced(rows, max(bound // 64, 1)), "lang", F.octet_length("text").cast("long"), bound, ["doc_id", "slice"])
     texts: dict[str, list[bytes]] = {}
-    for r in chosen.orderBy("lang", "doc_id", "text").toLocalIterator():
+    for r in chosen.orderBy("lang", "doc_id", "slice", "text").toLocalIterator():
         if r["text"]:
             texts.setdefault(r["lang"], []).append(r["text"].encode())
     return PPM(texts, order)

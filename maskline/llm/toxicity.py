@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import bounded_sample
+from maskline.llm.common import bounded_sample, sliced
 from maskline.llm.words import EXACT, FOLD, SpanTable, distinct, mix, slices, spans, text_buffer
 
 #: What the model is fitted on at most: labelled texts and bytes of them, for each class.
@@ -150,14 +150,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, size: int
     """A model from labelled documents, whole texts of a sample of each class.
 
     labels (doc_id, label); doc_ids of at most rows labels of each class are chosen by hash over all of
-    them, and of their texts at most size bytes of each class; losses are weighted to the classes' true
-    shares. Null labels are left out; a doc_id with two labels counts under each.
+    them, and of their texts at most size bytes of each class; a text of over size / 64 characters enters
+    in slices of that many, so none is too long. Losses are weighted to the classes' true shares. Null labels are left out; a doc_id with two labels counts under each.
     """
     labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     share = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     ids = bounded_sample(labels, "label", F.lit(1), rows, ["doc_id"])
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most rows of each class
-    got = bounded_sample(texts, "label", F.octet_length("text").cast("long"), size, ["doc_id", "text"])
+    got = bounded_sample(sliced(texts, max(size // 64, 1)), "label", F.octet_length("text").cast("long"), size, ["doc_id", "slice", "text"])
     found = sorted(((r["doc_id"], r["label"], r["text"]) for r in got.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
     y = np.array([min(max(r[1], 0), 1) for r in found], int)
     n = np.bincount(y, minlength=2)

@@ -120,6 +120,18 @@ def test_language_id(spark):
     assert langid.predict(test.where("false"), model).count() == 0
 
 
+def test_long_texts_are_learned(spark):
+    long = lambda *stems: " ".join(prose(5, 200, list(stems)))
+    rows = [(i, long(*(("ka", "lo") if i % 2 else ("thr", "ing"))), "xx" if i % 2 else "yy", i % 2) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
+    bound = min(len(r[1]) for r in rows) // 2  # each text alone is over it
+    model = langid.learn(d, bound)
+    assert sorted(model.languages) == ["xx", "yy"]
+    assert all(r.lang == r.lang_pred for r in langid.predict(d, model).collect())
+    scored = toxicity.score(d, toxicity.learn(d, d.select("doc_id", "label"), size=bound)).collect()
+    assert max(r.score for r in scored if not r.label) < min(r.score for r in scored if r.label)
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     rows = []
