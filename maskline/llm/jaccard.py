@@ -96,14 +96,14 @@ def fingerprints(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """A row (doc_id, n, h1, h2) for each document, and each task's part of the sketch (block, counts)."""
+    """A row (doc_id, key, n, h1, h2) for each of docs (doc_id, key, text), and each task's part of the sketch (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int32)
 
-        def rows(ids, n, h1, h2, block, counts) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip((ids, n, h1, h2, block, counts), kinds, strict=True)], names=["doc_id", "n", "h1", "h2", "block", "counts"])
+        def rows(ids, keys, n, h1, h2, block, counts) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip((ids, keys, n, h1, h2, block, counts), kinds, strict=True)], names=["doc_id", "key", "n", "h1", "h2", "block", "counts"])
 
         for batch in batches:
             for part in slices(batch):
@@ -111,13 +111,13 @@ def _scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 at, count = np.unique(_bucket(h, bits), return_counts=True)
                 sketch[at] += count.astype(np.int32)
                 none = [None] * len(sizes)
-                yield rows(part.column("doc_id").cast(pa.int64()), sizes.astype(np.int32), *fingerprints(h, sizes), none, none)
+                yield rows(part.column("doc_id").cast(pa.int64()), part.column("key"), sizes.astype(np.int32), *fingerprints(h, sizes), none, none)
         blocks = sketch.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         none = [None] * len(used)
-        yield rows(none, none, none, none, used.astype(np.int32), [zlib.compress(blocks[i].astype("<i4").tobytes(), 1) for i in used])
+        yield rows(none, none, none, none, none, used.astype(np.int32), [zlib.compress(blocks[i].astype("<i4").tobytes(), 1) for i in used])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, block int, counts binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n int, h1 long, h2 long, block int, counts binary")
 
 
 def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
@@ -282,17 +282,18 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     100 * intersection >= percent * union of their sets of distinct word n-grams; component_id is the
     smallest doc_id that links reach. A null text, or one without words, has an empty set and links with
     nothing. Equal rows are returned one by one and are linked. A row without doc_id has its component's
-    smallest doc_id, or null. N-grams and sets are told apart by 64-bit and 128-bit hashes.
+    smallest doc_id, or null; it links as others do. N-grams and sets are told apart by 64-bit and 128-bit hashes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     bits = sketch_bits(docs)
     scan = written(_scan(docs, words, bits))
-    rows = scan.where("n is not null").select("doc_id", "n", F.col("h1").alias("c"), "h2")
+    docs = docs.select(F.col("key").alias("doc_id"), "text")  # from here on, rows are found by their keys
+    rows = scan.where("n is not null").select("doc_id", "key", "n", F.col("h1").alias("c"), "h2")
     sketch = _sketch(scan, bits)
     shared = spark.sparkContext.broadcast((sketch, _fragments(sketch), bits))  # 5 bytes a counter
-    classes = rows.where("n > 0").groupBy("c", "n", "h2").agg(F.min("doc_id").alias("first_id"))
-    firsts = classes.select("c", F.col("first_id").alias("doc_id"))
+    classes = rows.where("n > 0").groupBy("c", "n", "h2").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"))
+    firsts = classes.select("c", F.coalesce("first_id", "key").alias("doc_id"))
     bound = float(np.log(100 / percent))
     prefixes = written(_prefixes(docs, words, percent, shared).join(firsts, ["c", "doc_id"], "left_semi").select("c", "n", "tokens"))
     posted = (

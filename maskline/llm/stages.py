@@ -30,10 +30,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one of each group: that of the smallest doc_id, once. Rows without doc_id stay."""
-    stay = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs with one of each group: that of the smallest doc_id, once. Rows without doc_id come after all others, by a hash."""
+    late = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND((1 << 62) - 1))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), late))
+    stay = jaccard.join(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,12 @@ def test_toxicity_stage_drops_what_the_operator_predicts(spark, corpus, monkeypa
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     assert toxicity.score(docs, model).where("predicted = 1").count() == docs.count()
     assert stages.drop_toxic(spark, docs, corpus).count() == 0
+
+
+def test_near_duplicates_without_doc_id(spark):
+    from maskline.llm import stages
+
+    w = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, w, "x"), (None, w + " end", "x"), (None, "other " * 3, "x"), (None, "other " * 3, "x"), (None, None, "x")], "doc_id long, text string, lang string")
+    got = stages.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, w), (None, "other " * 3), (None, None)], key=str)

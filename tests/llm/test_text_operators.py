@@ -277,6 +277,15 @@ def test_jaccard_edges(spark):
     assert jaccard.join(d.where("false")).count() == 0
 
 
+def test_jaccard_bridge_without_doc_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda a, b: " ".join(w[a:b])
+    rows = [(1, near(0, 50)), (None, near(4, 54)), (2, near(8, 58)), (None, near(4, 54).upper()), (9, " ".join(reversed(w)))]  # 1 and 2 link through the middle alone
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in jaccard.join(d, 5, 80).collect()))
+    assert got == [(0, 1), (0, 1), (1, 1), (2, 1), (9, 9)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
