@@ -29,7 +29,7 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     Explicit ones are JSON texts: an assistant's {"tool_calls": [{id, name, arguments, after}]}, where
     after lists calls that must come first, and a tool's {"tool_call_id", "content"}. Any other turn of
     the user is a call of 'reply' whose identifier is its turn, and the assistant's turn that follows
-    its result.
+    its result; an empty list of calls is such a turn.
     """
     m = messages.select("conv_id", "turn", "role", "text")
     looks_json = F.coalesce(F.col("text").rlike(r"^\s*\{"), F.lit(False))
@@ -37,7 +37,7 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     m = m.withColumn("made", F.when(looks_json & (role == "assistant"), F.from_json("text", _CALLS)["tool_calls"])).withColumn(
         "answer", F.when(looks_json & (role == "tool"), F.from_json("text", _RESULT))
     )
-    explicit = F.col("made").isNotNull()
+    explicit = F.coalesce(F.size("made") > 0, F.lit(False))
     answered = F.col("answer.tool_call_id").isNotNull()
     keys = ("conv_id", "turn")
     own = F.concat(F.lit("turn-"), F.col("turn").cast("string"))
@@ -55,9 +55,10 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Full hash join by (conv_id, call_id). A call's result is its first by turn; all are counted.
+    """Full hash join by (conv_id, call_id). A call's result is its first by turn and content; all are counted.
 
     Results are reduced to one row for each identifier before the join, so repeated rows don't multiply.
+    Each further result is a row of its own, without a name and with further = true.
     """
     first = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results")
@@ -66,7 +67,13 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     known = calls.select("conv_id", "call_id").distinct()
     orphans = first.hint("shuffle_hash").join(known.hint("shuffle_hash"), ["conv_id", "call_id"], "left_anti")
     unnamed = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n_results"))
-    return joined.unionByName(orphans, allowMissingColumns=True).unionByName(unnamed, allowMissingColumns=True)
+    # equal results of an identifier are told apart by their number only, so no row needs one of its own
+    same = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id", F.struct("turn", "content").alias("r")).agg(F.count("*").alias("copies"))
+    several = first.where("n_results > 1").select("conv_id", "call_id", F.col("r").alias("r0"), "n_results")
+    left = same.join(several.hint("shuffle_hash"), ["conv_id", "call_id"]).withColumn("copies", F.col("copies") - F.col("r").eqNullSafe(F.col("r0")).cast("long"))
+    further = left.where("copies > 0").select("conv_id", "call_id", "r", "n_results", F.lit(True).alias("further"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    out = joined.unionByName(orphans, allowMissingColumns=True).unionByName(unnamed, allowMissingColumns=True)
+    return out.unionByName(further, allowMissingColumns=True)
 
 
 def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -121,7 +128,7 @@ def problems(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[s
 def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
     """(conv_id, turn, kind, call_id, level, n_results, valid, problems, json): a line for each message or call.
 
-    kind is call, orphan (a result without its call) or message. json is canonical: keys sorted, no
+    kind is call, orphan (a result without its call), result (one after the first of its identifier) or message. json is canonical: keys sorted, no
     white space. A call is valid if its arguments fit its tool's schema, it has exactly one result and
     it is on no cycle. Null roles are plain messages, a user's null text is an argument that is missing,
     results without an identifier are orphans, repeated calls are lines of their own. Other columns are
@@ -141,9 +148,9 @@ def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]
     line = F.concat(F.lit("{"), *[x for i, (k, v) in enumerate(sorted(parts.items())) for x in (F.lit(("," if i else "") + f'"{k}":'), F.coalesce(v, F.lit("null")))], F.lit("}"))
     orphan = F.concat(F.lit('{"id":'), _string(F.col("call_id")), F.lit(',"result":'), _string(F.col("r.content")), F.lit("}"))
     lines = linked.select(
-        "conv_id", F.coalesce("turn", "r.turn").alias("turn"), F.when(is_call, "call").otherwise("orphan").alias("kind"), "call_id",
+        "conv_id", F.coalesce("turn", "r.turn").alias("turn"), F.when(is_call, "call").when(F.col("further"), "result").otherwise("orphan").alias("kind"), "call_id",
         F.when(cyclic, F.lit(None)).otherwise(F.coalesce("level", F.lit(0))).cast("int").alias("level"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        F.when(is_call, wrong).otherwise(F.array(F.lit("no call"))).alias("problems"), F.when(is_call, line).otherwise(orphan).alias("json"),
+        F.when(is_call, wrong).when(F.col("further"), F.array(F.lit("several results"))).otherwise(F.array(F.lit("no call"))).alias("problems"), F.when(is_call, line).otherwise(orphan).alias("json"),
     )
     plain = other.select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("n_results"),

@@ -1,5 +1,6 @@
 """Language ID, toxicity, pieces, token files, packing, Jaccard join, HTML and chat on small fixtures."""
 
+import json
 import random
 import re
 import zlib
@@ -340,3 +341,11 @@ def test_chat(spark):
     assert by[1, "w"].kind == "orphan" and by[2, "turn-0"].problems == "missing prompt; no result" and by[4, "turn-0"].problems == "several results"
     assert sum(r.conv_id == 2 for r in got) == 3 and sum(r.kind == "message" for r in got) == 2
     assert chat.format_chat(d.where("false")).count() == 0
+
+
+def test_chat_loses_no_result(spark):
+    t = lambda i, c: f'{{"tool_call_id":"{i}","content":"{c}"}}'
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 2, "tool", t("w", "x")), (1, 3, "tool", t("w", "y")), (2, 0, "user", "q"), (2, 1, "assistant", '{"tool_calls":[]}')]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    lines = sorted((r.conv_id, r.call_id, r.kind, r.n_results, json.loads(r.json)["result"]) for r in got)
+    assert lines == [(1, "turn-0", "call", 3, "a"), (1, "turn-0", "result", 3, "b"), (1, "turn-0", "result", 3, "b"), (1, "w", "orphan", 2, "x"), (1, "w", "result", 2, "y"), (2, "turn-0", "call", 1, '{"tool_calls":[]}')]
