@@ -6,6 +6,8 @@ one task, and a conversation's lines in order are those sorted by (level, turn,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +78,12 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return out.unionByName(further, allowMissingColumns=True)
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls that come after others: the length of the longest chain before.
 
     Rounds of Kahn's method over the edges alone, each ending in a written table; calls on or behind a
     cycle get level null. Edges from calls that don't exist are left out. There are as many rounds as
-    the longest chain has calls.
+    the longest chain has calls; where none becomes ready, only cycles and what follows them are left.
     """
     edges = calls.select("conv_id", F.explode("after").alias("before"), "call_id").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("before")).distinct()
@@ -91,7 +93,7 @@ def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
         return spark.createDataFrame([], empty)
     todo = written(edges)
     done = None
-    for k in range(max_rounds):
+    for k in count():
         waiting = todo.select("conv_id", "call_id").distinct()
         free = todo.select("conv_id", F.col("before").alias("call_id")).distinct().join(waiting, ["conv_id", "call_id"], "left_anti")
         released = todo.join(free.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi")

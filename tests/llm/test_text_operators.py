@@ -349,3 +349,9 @@ def test_chat_loses_no_result(spark):
     got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     lines = sorted((r.conv_id, r.call_id, r.kind, r.n_results, json.loads(r.json)["result"]) for r in got)
     assert lines == [(1, "turn-0", "call", 3, "a"), (1, "turn-0", "result", 3, "b"), (1, "turn-0", "result", 3, "b"), (1, "w", "orphan", 2, "x"), (1, "w", "result", 2, "y"), (2, "turn-0", "call", 1, '{"tool_calls":[]}')]
+
+
+def test_chat_levels_have_no_most(spark, monkeypatch):
+    monkeypatch.setattr(chat, "range", lambda n: range(2), raising=False)  # as if any bound on the rounds were 2
+    chain = spark.createDataFrame([(1, str(i), [str(i - 1)] if i else []) for i in range(5)], "conv_id long, call_id string, after array<string>")
+    assert sorted((r.call_id, r.level) for r in chat.levels(chain).collect()) == [("1", 1), ("2", 2), ("3", 3), ("4", 4)]
