@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +26,13 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(~c.rlike(NOT_SPACE), F.lit(True))
 
 
+@cache
+def _digits() -> str:
+    """The decimal digits of all scripts but 0-9, each script's from its zero on."""
+    zeros = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd" and unicodedata.digit(chr(c)) == 0]
+    return "".join(chr(z + d) for z in zeros for d in range(10))
+
+
 def ascii_digits(c: Column) -> Column:
-    """Decimal digits of the scripts met most in text, as 0-9."""
-    zeros = (0x0660, 0x06F0, 0x0966, 0x09E6, 0xFF10)
-    return F.translate(c, "".join(chr(z + d) for z in zeros for d in range(10)), "0123456789" * len(zeros))
+    """Decimal digits of any script as 0-9."""
+    return F.translate(c, _digits(), "0123456789" * (len(_digits()) // 10))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskline.functions import checks
@@ -41,55 +41,83 @@ DETECTORS: tuple[Detector, ...] = (
 RULE_TYPES = tuple(d.type for d in DETECTORS)
 
 
-def _split(text: Column, d: Detector) -> Column:
-    """The text before the first match, then each match with what follows it; null without a match."""
-    marked = F.regexp_replace(text, d.pattern, f"{OPEN}$0{CLOSE}")
-    return F.when(d.gate(text), F.split(marked, OPEN, -1))
+def _matches(text: Column, d: Detector) -> Column:
+    """The pattern's matches in text as an array of (start, end, value); null without one.
 
+    Matches are marked, the text is split at the marks, and the lengths of the pieces are added up on the way.
+    """
+    pieces = F.split(F.regexp_replace(text, d.pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-def candidates(pages: DataFrame, keys: Sequence[str], text: str = "text", detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
-    """(keys, detector_ord, match_ord, start, end, value) of all pattern matches, valid or not.
+    def place(acc: Column, piece: Column) -> Column:
+        value = F.substring_index(piece, CLOSE, 1)
+        one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
+        first = acc["out"].isNull()  # the text before the first mark
+        return F.struct(F.when(first, F.length(piece)).otherwise(acc["at"] + F.length(piece) - 1).alias("at"), F.when(first, none).otherwise(F.concat(F.coalesce(acc["out"], none), F.array(one))).alias("out"))
 
-    keys name a page. Only pages with matches go on; offsets are sums over each page's own pieces,
-    for which only their lengths are moved.
-    """
-    t = F.col(text)
-    clean = F.when(t.contains(OPEN) | t.contains(CLOSE), F.translate(t, OPEN + CLOSE, chr(0xFFFD) * 2)).otherwise(t)
-    found = F.array(*[F.struct(F.lit(i).alias("detector_ord"), _split(F.col("_text"), d).alias("pieces")) for i, d in enumerate(detectors)])
-    pieces = (
-        pages.where(F.col(text).isNotNull()).select(*keys, clean.alias("_text"))
-        # outer: else the optimiser repeats the whole search in a filter in front
-        .select(*keys, F.explode_outer(F.filter(found, lambda x: F.size(x["pieces"]) > 1)).alias("f")).where("f is not null")
-        .select(*keys, F.col("f.detector_ord").alias("detector_ord"), F.posexplode("f.pieces").alias("k", "piece"))
-        .select(*keys, "detector_ord", "k", F.when(F.col("k") > 0, F.substring_index("piece", CLOSE, 1)).alias("value"),
-                (F.length("piece") - F.when(F.col("k") > 0, 1).otherwise(0)).alias("n"))
-    )
-    before = Window.partitionBy(*keys, "detector_ord").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("start", F.sum("n").over(before).cast("int")).where("k > 0")
-    return placed.select(*keys, "detector_ord", (F.col("k") - 1).alias("match_ord"), "start", (F.col("start") + F.length("value")).alias("end"), "value")
-
-
-def _by_detector(detectors: Sequence[Detector], make: Callable[[Detector], Column | None], otherwise: Column) -> Column:
+    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    return F.when(d.gate(text), F.aggregate(pieces, begin, place, lambda acc: acc["out"]))
+
+
+def found(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
+    """All pattern matches in text, valid or not, as an array of (detector_ord, match_ord, start, end, value), in the order of detectors."""
+    clean = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, chr(0xFFFD) * 2)).otherwise(text)
+    none = F.array().cast("array<struct<detector_ord:int,match_ord:int,start:int,end:int,value:string>>")
+
+    def of(i: int, d: Detector) -> Column:
+        numbered = lambda x, k: F.struct(F.lit(i).alias("detector_ord"), k.alias("match_ord"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+        return F.coalesce(F.transform(_matches(clean, d), numbered), none)
+
+    return F.concat(*(of(i, d) for i, d in enumerate(detectors))) if detectors else none
+
+
+def _by_detector(detectors: Sequence[Detector], ord_: Column, make: Callable[[Detector], Column | None], otherwise: Column) -> Column:
     out = otherwise
     for i, d in enumerate(detectors):
         made = make(d)
         if made is not None:
-            out = F.when(F.col("detector_ord") == i, made).otherwise(out)
+            out = F.when(ord_ == i, made).otherwise(out)
     return out
 
 
+def is_valid(match: Callable[[str], Column], detectors: Sequence[Detector] = DETECTORS) -> Column:
+    """Whether a match, given as a function of its fields' names, passes its detector's check."""
+    return _by_detector(detectors, match("detector_ord"), lambda d: d.valid(match("value")) if d.valid else None, F.lit(True))
+
+
+def as_finding(match: Callable[[str], Column], detectors: Sequence[Detector] = DETECTORS) -> list[Column]:
+    """The columns of a finding out of a valid match."""
+    value, at = match("value"), match("detector_ord")
+    return [
+        _by_detector(detectors, at, lambda d: F.lit(d.type), F.lit("")).alias("type"),
+        _by_detector(detectors, at, lambda d: d.clean(value) if d.clean else None, value).alias("value"), match("start").alias("start"), match("end").alias("end"),
+        _by_detector(detectors, at, lambda d: F.lit(d.confidence), F.lit(0.0)).alias("confidence"), F.lit("rule_engine").alias("source"),
+        _by_detector(detectors, at, lambda d: d.normalize(value) if d.normalize else None, F.lit(None).cast("string")).alias("normalized_value"),
+        at.alias("detector_ord"), match("match_ord").alias("match_ord"),
+    ]
+
+
+def findings(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
+    """The findings in text as an array of structs, inside its row: null text, null."""
+    valid = F.filter(found(text, detectors), lambda x: is_valid(lambda n: x[n], detectors))
+    return F.when(text.isNotNull(), F.transform(valid, lambda x: F.struct(*as_finding(lambda n: x[n], detectors))))
+
+
+def candidates(pages: DataFrame, keys: Sequence[str], text: str = "text", detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
+    """(keys, detector_ord, match_ord, start, end, value) of all pattern matches, valid or not.
+
+    Each row of pages stands for itself: offsets are found inside the row, so equal rows, and rows of one
+    key with other texts, give their own matches. Nothing is shuffled.
+    """
+    # outer: else the optimiser repeats the whole search in a filter in front
+    hit = pages.where(F.col(text).isNotNull()).select(*keys, F.explode_outer(found(F.col(text), detectors)).alias("f")).where("f is not null")
+    return hit.select(*keys, "f.*")
+
+
 def detect(pages: DataFrame, keys: Sequence[str], text: str = "text", detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """Findings of all detectors: (keys, type, value, start, end, confidence, source, normalized_value, ...).
 
     Overlapping findings of different detectors are all kept. Their order in a page is that of
     (start, detector_ord, match_ord).
     """
-    value = F.col("value")
-    shown = _by_detector(detectors, lambda d: d.clean(value) if d.clean else None, value)
-    valid = _by_detector(detectors, lambda d: d.valid(value) if d.valid else None, F.lit(True))
-    normal = _by_detector(detectors, lambda d: d.normalize(value) if d.normalize else None, F.lit(None).cast("string"))
-    return (
-        candidates(pages, keys, text, detectors).where(valid)
-        .select(*keys, _by_detector(detectors, lambda d: F.lit(d.type), F.lit("")).alias("type"), shown.alias("value"), "start", "end",
-                _by_detector(detectors, lambda d: F.lit(d.confidence), F.lit(0.0)).alias("confidence"), F.lit("rule_engine").alias("source"), normal.alias("normalized_value"), "detector_ord", "match_ord")
-    )
+    return candidates(pages, keys, text, detectors).where(is_valid(F.col, detectors)).select(*keys, *as_finding(F.col, detectors))

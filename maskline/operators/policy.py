@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.operators.detect import RULE_TYPES
+from maskline.operators.detect import RULE_TYPES, findings
 
 HIGH, MEDIUM = 0.85, 0.60
 
@@ -59,12 +59,20 @@ def nothing_selected(documents: DataFrame, selected: DataFrame, doc: str = "doc_
     return documents.select(doc).join(selected.select(doc), doc, "left_anti").withColumn("http_code", F.lit(404)).withColumn("status", F.lit("nothing_selected"))
 
 
-def summary(documents: DataFrame, findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+def summary(documents: DataFrame, found: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each document its findings, the automatic ones and those under review; 0 where it has none."""
     action = F.col("redaction_action")
-    counts = findings.groupBy(*keys).agg(F.count("*").alias("finding_count"), F.count_if(action == "AUTO_REDACT").alias("auto_count"), F.count_if(action == "REVIEW").alias("review_count"))
+    counts = found.groupBy(*keys).agg(F.count("*").alias("finding_count"), F.count_if(action == "AUTO_REDACT").alias("auto_count"), F.count_if(action == "REVIEW").alias("review_count"))
     return documents.select(*keys).join(counts, list(keys), "left").na.fill(0, ["finding_count", "auto_count", "review_count"])
 
 
+def summary_in_row(documents: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """As summary() of the rule findings, counted in each document's row: one scan, no join."""
+    action = lambda x: redaction_action(x["type"], confidence_level(x["confidence"]))
+    of = documents.select(*keys, F.coalesce(findings(F.col(text)), F.array()).alias("_found"))
+    count = lambda a: F.size(F.filter("_found", lambda x: action(x) == a)).cast("long")
+    return of.select(*keys, F.size("_found").cast("long").alias("finding_count"), count("AUTO_REDACT").alias("auto_count"), count("REVIEW").alias("review_count"))
+
+
 def percent_label(confidence: Column) -> Column:
     return F.concat(F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))

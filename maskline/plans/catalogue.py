@@ -66,13 +66,11 @@ def detect_all_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.summary(table(spark, sf_dir, "documents"), _document_findings(spark, sf_dir))
+    return policy.summary_in_row(table(spark, sf_dir, "documents"))
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = detect.detect(docs, ["doc_id"])
-    out = redact.redact(docs, found)
+    out = redact.redact_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
 
