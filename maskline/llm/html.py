@@ -20,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("aside audio button canvas dialog footer form head header iframe input label legend menu nav noscript object option script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio button canvas dialog footer head iframe input label legend menu nav noscript object option script select style svg template textarea title video".split())
 REGION = frozenset("article main section div td body html".split())
 ENDS_P = BLOCK - {"option", "select", "html", "body", "head"}
 #: Words of class and id, and roles, of what isn't an article's own text.
@@ -29,14 +29,19 @@ ASIDE_WORDS = frozenset(
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
-#: First words of a class that says what a page or its layout has, not what the element is.
+#: From these words on a class says what a page or its layout has; with one of the others at its end, a state.
 MODIFIERS = frozenset("has have no not with without hide hides hidden show shows is".split())
+STATES = frozenset("open opened closed enabled disabled allowed active visible on off".split())
+#: Share of the page's content that an element must hold to be none of what its name or tag says: of one named so
+#: alone, and of one where the name is but a part or the tag a form.
+SURELY, MAYBE = 0.9, 0.5
 
 
 class Lines(HTMLParser):
     """The page's blocks in order: (text, tags met since the block before, dropped, path of regions, doubtful elements).
 
-    A doubtful element is named after a part of a page in a compound class or id only (sidebar-left, header-fixed).
+    An element is doubtful if its class, id, role or tag says that it isn't the article's own; what it holds
+    decides. need has the share of the content from which on it is kept.
     """
 
     def __init__(self) -> None:
@@ -44,7 +49,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = []
         self.stack: list[tuple[str, bool, int, int]] = []  # name, dropped, its region's number or 0, its number among the doubtful or 0
         self.kinds: dict[int, str] = {}
-        self.doubtful = 0
+        self.need: dict[int, float] = {}
         self.sound: set[int] = set()  # doubtful elements around a main
         self.text: list[str] = []
         self.tags = 0
@@ -81,16 +86,18 @@ class Lines(HTMLParser):
             self._end_of("p", {"article", "div", "section", "td", "button"})
         if tag == "li":
             self._end_of("li", {"ul", "ol", "menu"})
-        aside, doubt = self._aside(tag, attrs)
-        dropped = tag in DROPPED or aside
-        region = 0
+        doubt = self._doubt(tag, attrs)
+        dropped = tag in DROPPED or doubt == 1
+        region = number = 0
         if tag in REGION:
             region = len(self.kinds) + 1
             self.kinds[region] = tag
         if tag == "main" and not dropped:
             self.sound.update(n for _, _, _, n in self.stack if n)
-        self.doubtful += doubt and not dropped
-        self.stack.append((tag, dropped, region, self.doubtful if doubt and not dropped else 0))
+        if doubt and not dropped:
+            number = len(self.need) + 1
+            self.need[number] = doubt
+        self.stack.append((tag, dropped, region, number))
         self.dropped += dropped
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -117,21 +124,30 @@ class Lines(HTMLParser):
                     self._pop()
                 return
 
-    @staticmethod
-    def _aside(tag: str, attrs: list) -> tuple[bool, bool]:
-        """Whether an element isn't the article's own, and whether only a compound name speaks for that."""
-        if tag in ("html", "body") or not attrs:
-            return False, False
+    def _doubt(self, tag: str, attrs: list) -> float:
+        """0 if nothing says that an element isn't the article's own, 1 if it is hidden, else the share it must hold."""
+        if tag in ("html", "body"):
+            return 0
+        inside = any(name in ("article", "main") for name, _, _, _ in self.stack)
+        doubt = MAYBE if tag == "form" else SURELY if tag == "header" and not inside else 0
+        if not attrs:
+            return doubt
         of = dict(attrs)
-        names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{of.get('class') or ''} {of.get('id') or ''}").lower().split()
-        named = [[w for w in re.split(r"[^a-z0-9]+", name) if w] for name in names]
-        named = [words for words in named if words and words[0] not in MODIFIERS]
-        words = {w for x in named for w in x}
-        if tag in ("article", "main"):
-            return bool(words & COMMENT_WORDS), False
-        hidden = "hidden" in of or of.get("aria-hidden") == "true" or "display:none" in (of.get("style") or "").replace(" ", "").lower()
-        firm = hidden or (of.get("role") or "").lower() in ASIDE_ROLES or bool({x[0] for x in named if len(x) == 1} & ASIDE_WORDS or words & COMMENT_WORDS)
-        return firm, not firm and bool(words & ASIDE_WORDS)
+        if "hidden" in of or of.get("aria-hidden") == "true" or "display:none" in (of.get("style") or "").replace(" ", "").lower():
+            return 1
+        if (of.get("role") or "").lower() in ASIDE_ROLES:
+            doubt = SURELY
+        named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{of.get('class') or ''} {of.get('id') or ''}").lower().split()
+        for name in named:
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+            if not words or words[-1] in STATES:
+                continue
+            if COMMENT_WORDS.intersection(words) or len(words) == 1 and words[0] in ASIDE_WORDS and tag not in ("article", "main"):
+                doubt = SURELY
+            elif ASIDE_WORDS.intersection(words) and tag not in ("article", "main"):
+                doubt = max(doubt, MAYBE)
+        return doubt
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -151,12 +167,11 @@ def _content(lines: list[tuple], dropped: list[bool]) -> np.ndarray:
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line.
 
-    Each block is a line with its ratio of characters to tags; menus, notices and the like count as
-    0. Lines whose smoothed ratio reaches the ratios' standard deviation are content. A doubtful element
-    that holds most of the content, or a main, is none of the like. Where a content line lies in an
-    article or main element, all such elements are regions; else the smallest element that holds all of
-    the content is. All lines of the regions and all content lines are returned but those of menus and
-    the like.
+    Each block is a line with its ratio of characters to tags; menus and the like count as 0. Lines whose
+    smoothed ratio reaches the ratios' standard deviation are content. A doubtful element that holds the
+    share of the content that it needs, or a main, is kept. Where a content line lies in an article or main
+    element, all such elements are regions; else the smallest element that holds all of the content is. All
+    lines of the regions and all content lines are returned but those of menus and the like.
     """
     if not page:
         return ""
@@ -166,7 +181,7 @@ def main_text(page: str | None) -> str:
     p.flush()
     lines = p.lines
     dropped = [line[2] for line in lines]
-    if p.doubtful:
+    if p.need:
         mass: dict[int, int] = {}
         total = 0
         for (text, _, _, _, doubts), hit in zip(lines, _content(lines, dropped), strict=True):
@@ -174,7 +189,7 @@ def main_text(page: str | None) -> str:
                 total += len(text)
                 for n in doubts:
                     mass[n] = mass.get(n, 0) + len(text)
-        sound = p.sound | {n for n, m in mass.items() if 2 * m > total}
+        sound = p.sound | {n for n, m in mass.items() if m > p.need[n] * total}
         dropped = [line[2] or not sound.issuperset(line[4]) for line in lines]
     content = _content(lines, dropped)
     if not content.any():
@@ -188,8 +203,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages with text (empty if none) and n_chars (its code points) instead of html.
 
-    A null or empty page, or one without content, has an empty text. Equal rows are returned one by
-    one; further columns are passed on, those named as a result are replaced. Any markup is read as
+    A null or empty page, or one without content, has an empty text. A page of any length is read whole.
+    Equal rows are returned one by one; further columns are passed on, those named as a result are replaced. Any markup is read as
     far as it goes. An empty table gives no rows.
     """
     kept = pages.drop("text", "n_chars")
