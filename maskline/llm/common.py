@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Levels of the geometric sampler; a row is on level k with probability 2**-(k+1).
 LEVELS = 48
+#: Links that a task contracts at a time.
+ROOM = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,19 +36,24 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there and survives lost executors.
-
-    The JVM is then asked to collect garbage, so shuffle files that led to the table can go at once.
-    """
+    """df as a table in the shared folder: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that written() made and nothing reads any more."""
+    """Removes tables that written() made and nothing reads any more.
+
+    The JVM is then asked to collect garbage, so the shuffle files of finished jobs go with them.
+    """
+    _remove(*tables)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _remove(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -70,23 +79,30 @@ def bounded_sample(df: DataFrame, group: Column | str, weight: Column, bound: in
     """Rows of df such that weight sums to at most bound in each group, by a hash of keys.
 
     The choice is deterministic and depends on the whole table: one small aggregation counts weight
-    by (group, level); each group then keeps the lowest level whose rows all fit. Groups are few
-    (classes, languages); what comes to the driver is at most LEVELS rows for each.
+    by (group, level); each group then keeps the lowest level whose rows all fit. Where not even the
+    highest level fits (many rows of one key), as many of its rows as fit are taken in the order of their
+    hash, one at least. Groups are few (classes, languages); what comes to the driver is at most LEVELS
+    rows for each.
     """
     group = F.col(group) if isinstance(group, str) else group
-    rows = df.select(group.alias("g"), level(*keys).alias("k"), weight.alias("w")).groupBy("g", "k").agg(F.sum("w").alias("w")).collect()
+    rows = df.select(group.alias("g"), level(*keys).alias("k"), weight.alias("w")).groupBy("g", "k").agg(F.sum("w").alias("w"), F.max("w").alias("most")).collect()
     by: dict = {}
     for r in rows:
-        by.setdefault(r.g, {})[r.k] = r.w or 0
-    keep = F.lit(False)
+        by.setdefault(r.g, {})[r.k] = (r.w or 0, r.most or 0)
+    keep, parts = F.lit(False), []
     for g, ks in sorted(by.items(), key=lambda x: str(x[0])):
         total, low = 0, LEVELS
-        for k in range(LEVELS - 1, -1, -1):
-            if total + ks.get(k, 0) > bound:
+        for k in sorted(ks, reverse=True):
+            if total + ks[k][0] > bound:
                 break
-            total, low = total + ks.get(k, 0), k
-        keep = keep | (group.eqNullSafe(F.lit(g)) & (level(*keys) >= low))
-    return df.filter(keep)
+            total, low = total + ks[k][0], k
+        if low == LEVELS:
+            top = max(ks)
+            own = df.filter(group.eqNullSafe(F.lit(g)) & (level(*keys) == top))
+            parts.append(own.orderBy(F.xxhash64(*keys)).limit(max(1, bound // max(ks[top][1], 1))))
+        else:
+            keep = keep | (group.eqNullSafe(F.lit(g)) & (level(*keys) >= low))
+    return reduce(lambda x, y: x.unionByName(y), parts, df.filter(keep))
 
 
 def sliced(df: DataFrame, most: int) -> DataFrame:
@@ -100,31 +116,58 @@ def sliced(df: DataFrame, most: int) -> DataFrame:
     return cut.withColumn("text", text).withColumn("slice", F.when(F.col("slice") > 0, F.col("slice")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _contracted(links: DataFrame) -> DataFrame:
+    """(u, v), v < u: of each task's links a forest that joins the same nodes, one link a node; ROOM links at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def forest() -> pa.RecordBatch:
+            pair = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+            nodes, at = np.unique(pair, return_inverse=True)
+            at = at.reshape(2, -1)
+            root = local_components(len(nodes), at[0], at[1])
+            some = np.flatnonzero(root != np.arange(len(nodes)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(nodes[root[some]], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            if sum(x.shape[1] for x in held) >= ROOM:
+                yield forest()
+        yield forest()
+
+    return links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(a, b) links to (node, component): the smallest node that links reach, for nodes with links.
 
-    Alternating large-star and small-star rounds; each round ends in a written table, and the
-    rounds are logarithmic in the longest chain. Only counts come to the driver.
+    Each task's links are first contracted by themselves. Then large-star and small-star rounds alternate;
+    each round ends in a written table, and the rounds are logarithmic in the longest chain; an error is
+    raised should they not end. Only counts come to the driver. A node with many links may be the centre of a
+    star: the least neighbour of each node is written before the links meet it, so that join's hot
+    partitions can be split.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    e = written(_contracted(edges).distinct())
     for _ in range(max_rounds):
+        node = e.select("u", F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        if node.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or above = 1 and below = 1").isEmpty():
+            break  # stars: each node but the roots has one link, to a root
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        )
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        stars = e.groupBy("u").count().where("count > 1").isEmpty() and e.select("u").intersect(e.select(F.col("v").alias("u"))).isEmpty()
-        if stars or before == now:
-            break
-        before = now
+        made = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        made = written(made.where("u > v").distinct())
+        _remove(low, e)
+        e = made
+    else:
+        raise RuntimeError(f"links are not settled after {max_rounds} rounds")
     roots = e.select("v").distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    found = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))))
+    _remove(e)
+    return found
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

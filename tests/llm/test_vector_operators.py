@@ -53,7 +53,7 @@ def test_links(spark):
     assert neardup.link(d.where("false")).count() == 0
 
 
-def test_small_blocks_count_each_pair_once(spark):
+def test_windows_find_the_groups_and_cells_count_them(spark):
     rows = sample(2, 160)
     want = brute_links(rows, 0.93)
     got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.link(spark.createDataFrame(rows, SCHEMA), passes=24, block=16, window=8).collect()}
@@ -61,6 +61,22 @@ def test_small_blocks_count_each_pair_once(spark):
     assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
 
 
+def test_passes_of_a_large_label_find_its_pairs(spark):
+    r = np.random.default_rng(6)
+    n, d = 8000, 64
+    x = r.standard_normal((n, d))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    off = r.standard_normal((n // 2, d))
+    off -= (off * x[0::2]).sum(1)[:, None] * x[0::2]
+    off /= np.sqrt((off * off).sum(1))[:, None]
+    x[1::2] = 0.935 * x[0::2] + np.sqrt(1 - 0.935**2) * off  # pairs right above the threshold
+    assert neardup.passes_for(n, 0.93) < neardup.passes_for(100 * n, 0.93) < 60
+    got = neardup.link(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == 1).mean() >= 0.99 and got.n_links.max() == 1
+    linked = got[got.n_links == 1]
+    assert (linked.component_id == linked.index // 2 * 2).all()
+
+
 def test_search(spark):
     rows = sample(3, 400)
     d = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(1))
