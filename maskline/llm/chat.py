@@ -16,7 +16,7 @@ from maskline.llm.common import any_of, written
 #: Tools by name, their arguments as name -> (JSON type, required). A user's turn is a call of 'reply'.
 TOOLS: dict[str, dict[str, tuple[str, bool]]] = {"reply": {"prompt": ("string", True)}}
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
-_CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
+_CALLS = "content string, tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 _RESULT = "tool_call_id string, content string"
 
 
@@ -28,17 +28,18 @@ def canonical(json: Column) -> Column:
 def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, other messages) of messages (conv_id, turn, role, text).
 
-    Explicit ones are JSON texts: an assistant's {"tool_calls": [{id, name, arguments, after}]}, where
-    after lists calls that must come first, and a tool's {"tool_call_id", "content"}. Any other turn of
-    the user is a call of 'reply' whose identifier is its turn, and the assistant's turn that follows
-    its result; an empty list of calls is such a turn.
+    Explicit ones are JSON texts: an assistant's {"content", "tool_calls": [{id, name, arguments, after}]}, where
+    after lists calls that must come first and content is a message beside them, and a tool's {"tool_call_id",
+    "content"}. Any other turn of the user is a call of 'reply' whose identifier is its turn, and the assistant's
+    turn that follows its result; a list without a call (empty, or of nulls) is such a turn.
     """
     m = messages.select("conv_id", "turn", "role", "text")
     looks_json = F.coalesce(F.col("text").rlike(r"^\s*\{"), F.lit(False))
     role = F.coalesce("role", F.lit(""))
-    m = m.withColumn("made", F.when(looks_json & (role == "assistant"), F.from_json("text", _CALLS)["tool_calls"])).withColumn(
+    m = m.withColumn("said", F.when(looks_json & (role == "assistant"), F.from_json("text", _CALLS))).withColumn(
         "answer", F.when(looks_json & (role == "tool"), F.from_json("text", _RESULT))
     )
+    m = m.withColumn("made", F.filter("said.tool_calls", lambda c: c.isNotNull()))
     explicit = F.coalesce(F.size("made") > 0, F.lit(False))
     answered = F.col("answer.tool_call_id").isNotNull()
     keys = ("conv_id", "turn")
@@ -52,7 +53,8 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
         m.where(answered).select(*keys, F.col("answer.tool_call_id").alias("call_id"), F.col("answer.content").alias("content"))
         .unionByName(m.where((role == "assistant") & ~explicit).select(*keys, F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content")))
     )
-    other = m.where(~role.isin("user", "assistant") & ~answered).select(*keys, "role", "text")
+    beside = m.where(explicit & (F.col("said.content") != "")).select(*keys, "role", F.col("said.content").alias("text"))
+    other = m.where(~role.isin("user", "assistant") & ~answered).select(*keys, "role", "text").unionByName(beside)
     return calls, results, other
 
 
