@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from maskline.llm.common import bounded_sample, sliced
 from maskline.llm.words import STEP, HashIndex, mix, slices, text_buffer
 
-#: Bytes of labelled text that a language is learned from at most, and the longest context.
-LEARN_BYTES, ORDER = 2 << 20, 4
+#: Bytes of labelled text that a language is learned from at most, those of all languages together, the longest
+#: context, and languages that share a table of grams: tables grow with the bytes learned, not with their product
+#: with the number of languages.
+LEARN_BYTES, TOTAL_BYTES, ORDER, GROUP = 2 << 20, 64 << 20, 4, 8
 UNKNOWN = "und"
 
 
@@ -41,6 +43,19 @@ def grams(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
 
 
 class PPM:
+    """Models of all languages, in groups of GROUP that share tables."""
+
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+        self.languages = sorted(texts)
+        names = [self.languages[i : i + GROUP] for i in range(0, len(texts), GROUP)]
+        self.groups = [Trees({x: texts[x] for x in some}, order) for some in names]
+
+    def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Exact code length of each document under each language's model."""
+        return np.concatenate([np.zeros((len(off) - 1, 0)), *(g.bits(data, off) for g in self.groups)], axis=1)
+
+
+class Trees:
     """One context tree for each language, to depth order; all trees share one table for each depth.
 
     With T symbols seen after a context, D of them distinct, a symbol seen n times there has
@@ -126,11 +141,13 @@ class PPM:
 def learn(labelled: DataFrame, bound: int = LEARN_BYTES, order: int = ORDER) -> PPM:
     """The models of the languages in labelled (doc_id, text, lang), from whole texts of a sample.
 
-    The sample has at most bound bytes of each language, chosen by a hash of doc_id over all rows. A text
-    of over bound / 64 characters enters in slices of that many, so none is too long to be learned from.
+    The sample has at most bound bytes of each language (less where there are more than TOTAL_BYTES / bound
+    languages), chosen by a hash of doc_id and text over all rows. A text of over bound / 64 characters enters in slices
+    of that many, so none is too long to be learned from. Null texts and languages are left out; equal rows count each.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    chosen = bounded_sample(sliced(rows, max(bound // 64, 1)), "lang", F.octet_length("text").cast("long"), bound, ["doc_id", "slice"])
+    bound = max(1, min(bound, TOTAL_BYTES // max(1, rows.select("lang").distinct().count())))
+    chosen = bounded_sample(sliced(rows, max(bound // 64, 1)), "lang", F.octet_length("text").cast("long"), bound, ["doc_id", "slice", "text"])
     texts: dict[str, list[bytes]] = {}
     for r in chosen.orderBy("lang", "doc_id", "slice", "text").toLocalIterator():
         if r["text"]:
@@ -143,7 +160,8 @@ def predict(docs: DataFrame, model: PPM) -> DataFrame:
 
     lang_pred is the language whose model gives the whole text the shortest code (ties: the name that
     sorts first), score its share of the posterior under equal priors. A text that is null or has no
-    letter, or a model without any language, gives 'und' with score 0. docs may have further columns,
+    letter, or a model without any language, gives 'und' with score 0. A text of any length is read whole; equal rows
+    are judged each, alike. docs may have further columns,
     which are passed on; those named as a result column are replaced. Empty tables give no rows.
     """
     made = ["lang_pred", "score", "bits_per_byte"]
