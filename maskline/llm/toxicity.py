@@ -47,7 +47,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buckets, owners = [], []
     room = end[owner] - np.arange(len(raw))
     h = np.zeros(len(raw), np.uint64)
-    for n in range(1, max(GRAMS) + 1):
+    for n in range(1, min(max(GRAMS), len(raw)) + 1):
         h[: len(raw) - n + 1] = h[: len(raw) - n + 1] * np.uint64(0x100000001B3) + value[n - 1 :]
         if n in GRAMS:
             at = np.flatnonzero(room >= n)
@@ -63,13 +63,17 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """embedding (buckets x dimensions) and weight (dimensions x 2) give a word's two logits; bias is added once."""
+    """What scoring needs of embeddings and layer: averaging and the layer are linear, so a bucket's share in
+    the difference of the two logits is one number (margin); offset is that of the biases.
+    """
+
+    def __init__(self, margin: np.ndarray, offset: float):
+        self.margin, self.offset = margin.astype(np.float32), offset
 
-    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: np.ndarray):
-        self.embedding, self.weight, self.bias = embedding, weight, bias
-        # averaging and the layer are linear: a bucket's share in the difference of the logits is one number
-        self.margin = (embedding @ (weight[:, 1] - weight[:, 0])).astype(np.float32)
-        self.offset = float(bias[1] - bias[0])
+    @classmethod
+    def of(cls, embedding: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> Model:
+        """From embeddings (buckets x dimensions), weights (dimensions x 2) and two biases."""
+        return cls(embedding @ (weight[:, 1] - weight[:, 0]), float(bias[1] - bias[0]))
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bucket, size = features(words)
@@ -99,7 +103,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     W = rng.normal(0, 1, (DIMENSIONS, 2))
     if not len(texts) or len(set(labels.tolist())) < 2:
         rate = float(np.mean(labels)) if len(labels) else 0.0
-        return Model(full, W, np.array([0, np.log((rate + 1e-6) / (1 - rate + 1e-6))]))
+        return Model.of(full, W, np.array([0, np.log((rate + 1e-6) / (1 - rate + 1e-6))]))
     data, off = text_buffer(pa.array(texts, pa.large_string()))
     doc, s, e, h = spans(data, off, SEPARATOR, FOLD)
     at, word = distinct(h)
@@ -143,7 +147,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(second) + damp * np.sqrt(second.mean() if second.size else 0) + 1e-12)
         E *= 1 - DECAY
     full[used] = E
-    return Model(full, W, b)
+    return Model.of(full, W, b)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, size: int = LEARN_BYTES) -> Model:
@@ -151,25 +155,37 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, size: int
 
     labels (doc_id, label); doc_ids of at most rows labels of each class are chosen by hash over all of
     them, and of their texts at most size bytes of each class; a text of over size / 64 characters enters
-    in slices of that many, so none is too long. Losses are weighted to the classes' true shares. Null labels are left out; a doc_id with two labels counts under each.
+    in slices of that many, so none is too long. Losses are weighted to the classes' true shares. Null labels
+    and null texts are left out; a doc_id with two labels counts under each, equal rows count each. Labels over 1 count
+    as 1. Without labels, or with those of one class, the model is a constant: the share of label 1.
     """
     labels = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     share = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     ids = bounded_sample(labels, "label", F.lit(1), rows, ["doc_id"])
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most rows of each class
     got = bounded_sample(sliced(texts, max(size // 64, 1)), "label", F.octet_length("text").cast("long"), size, ["doc_id", "slice", "text"])
-    found = sorted(((r["doc_id"], r["label"], r["text"]) for r in got.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    y = np.array([min(max(r[1], 0), 1) for r in found], int)
-    n = np.bincount(y, minlength=2)
-    w = np.array([share.get(k, 0) / max(n[k], 1) for k in (0, 1)])
-    return fit([r[2] for r in found], y, w[y] if len(y) else np.zeros(0))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0] is None, r[0], r[1], r[2]))
+        y = np.array([min(max(r[1], 0), 1) for r in found], int)
+        n = np.bincount(y, minlength=2)
+        w = np.array([share.get(k, 0) / max(n[k], 1) for k in (0, 1)])
+        m = fit([r[2] for r in found], y, w[y] if len(y) else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([m.margin.tobytes()], pa.binary()), pa.array([m.offset])], names=["margin", "offset"])
+
+    # the sample is bounded, so one task learns from it; the driver gets one number a bucket
+    learned = got.select("doc_id", "label", "text").repartition(1).mapInArrow(train, "margin binary, offset double").first()
+    if learned is None:  # a table known to be empty is no task's
+        return fit([], np.zeros(0, int), np.zeros(0))
+    return Model(np.frombuffer(learned["margin"], np.float32), learned["offset"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (probability of label 1, from the whole text alone) and predicted (1 from threshold on).
 
-    A null or empty text, or one without words, gets the bias's score. Further columns are passed on;
-    those named score or predicted are replaced. Empty tables give no rows.
+    A null or empty text, or one without words, gets the bias's score. Equal rows get equal scores, each a row
+    of its own; a text of any length is scored whole. Further columns are passed on; those named score or
+    predicted are replaced. Empty tables give no rows.
     """
     kept = docs.drop("score", "predicted")
     schema = kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
@@ -177,8 +193,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((margin, offset))  # 2**BUCKET_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.__new__(Model)
-        m.margin, m.offset = shared.value
+        m = Model(*shared.value)
         known = SpanTable(CACHE, np.float32)
         for batch in batches:
             for part in slices(batch):
