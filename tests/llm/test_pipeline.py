@@ -49,7 +49,7 @@ def test_toxicity_stage_drops_what_the_operator_predicts(spark, corpus, monkeypa
 
     from maskline.llm import stages, toxicity
 
-    model = toxicity.Model(np.zeros((1 << toxicity.BUCKET_BITS, 2)), np.zeros((2, 2)), np.array([0, np.log(0.4 / 0.6)]))  # every score is 0.4
+    model = toxicity.Model(np.zeros(1 << toxicity.BUCKET_BITS), float(np.log(0.4 / 0.6)))  # every score is 0.4
     monkeypatch.setattr(toxicity, "learn", lambda docs, labels: model)
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     assert toxicity.score(docs, model).where("predicted = 1").count() == docs.count()
