@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.llm.words import SpanTable, ragged, slices, spans, text_buffer
 
 MARK = "\u2581"
-CACHE = 1_500_000
+#: Distinct words, and pairs of pieces, that a worker remembers; ids whose bytes are laid out together.
+CACHE, PAIRS, CHUNK = 600_000, 300_000, 1 << 20
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[32] = True
 _MODELS: dict[tuple[str, str], PieceModel] = {}
@@ -23,10 +25,11 @@ class PieceModel:
 
     encode_words() sorts distinct marked words and walks the trie that they span depth-first. The
     state at a trie node is that of the prefix it stands for, so words share the states of their
-    common prefixes. For a unigram model the state is the best score and the last piece of the best
-    path to it. A merge model's result isn't the best-scored path: there the state is the one last
-    piece of the prefix's merged form. A piece can end a prefix if the form of what is before it ends
-    in a piece with which it stays unmerged, which is looked up for pairs of pieces.
+    common prefixes: the best score and the last piece of the best path, and the places in the trie of all
+    pieces that the prefix's suffixes reach, so a step looks only at pieces that can end there. A merge
+    model's result isn't the best-scored path: there the state has the last piece of the prefix's merged
+    form. A piece can end a prefix if the form of what is before it ends in a piece with which it stays
+    unmerged, which is found once for a pair of pieces.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], kind: str, byte_ids: dict[int, int], unknown: int = 0, skip: frozenset[int] = frozenset()):
@@ -34,13 +37,28 @@ class PieceModel:
         special = set(byte_ids.values()) | skip | {unknown}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special and p}
         self.scores = {p: scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.score = [scores[i] for i in range(len(pieces))]
         self.poor = min(self.scores.values(), default=0.0) - 10
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # a piece crosses words
         byte_of = {i: b for b, i in byte_ids.items()}
-        self.raw = [bytes([byte_of[i]]) if i in byte_of else b"" if i in skip else " \u2047 ".encode() if i == unknown else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        raw = [bytes([byte_of[i]]) if i in byte_of else b"" if i in skip else " \u2047 ".encode() if i == unknown else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.is_byte = np.zeros(len(pieces), bool)
+        self.is_byte[list(byte_of)] = True
+        self.child: dict[int, int] = {}  # node << 21 | character -> node; the root is 0
+        self.ends_at = [-1]  # the piece that a node spells
+        for p, i in self.ids.items():
+            node = 0
+            for ch in p:
+                key = node << 21 | ord(ch)
+                node = self.child.setdefault(key, len(self.ends_at))
+                if node == len(self.ends_at):
+                    self.ends_at.append(-1)
+            self.ends_at[node] = i
+        self.apart: dict[int, bool] = {}
+        self.alone = [len(p) == 1 or None for p in pieces]
 
     @classmethod
     def load(cls, path: str, kind: str) -> PieceModel:
@@ -64,58 +82,67 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _ends(self, before: str | None, piece: str) -> bool:
+    def _ends(self, before: int | None, piece: int) -> bool:
+        """Whether piece stays whole, and unmerged with the piece (or unknown character, as len(pieces) + its number) before."""
         if before is None:
-            ok = self.alone.get(piece)
-            if ok is None:
-                ok = self.alone[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-            return ok
-        ok = self.apart.get((before, piece))
+            if self.alone[piece] is None:
+                self.alone[piece] = self.merge(self.pieces[piece]) == [self.pieces[piece]]
+            return self.alone[piece]
+        key = before << 21 | piece
+        ok = self.apart.get(key)
         if ok is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            ok = self.apart[before, piece] = self.merge(before + piece) == [before, piece]
+            n, text = len(self.pieces), self.pieces[piece]
+            left = self.pieces[before] if before < n else chr(before - n)
+            ok = self.apart[key] = self.merge(left + text) == [left, text]
         return ok
 
-    def _step(self, word: str, i: int, state: list) -> tuple[float, str]:
-        """State of word[:i] from the states of its prefixes."""
-        if self.kind == "unigram":
-            best = (state[i - 1][0] + self.poor, word[i - 1])
-            for k in range(min(self.longest, i), 0, -1):
-                s = self.scores.get(word[i - k : i])
-                if s is not None and state[i - k][0] + s > best[0]:
-                    best = (state[i - k][0] + s, word[i - k : i])
-            return best
-        for k in range(min(self.longest, i), 1, -1):
-            p = word[i - k : i]
-            if p in self.scores and self._ends(None, p) and (i == k or self._ends(state[i - k][1], p)):
-                return 0.0, p
-        return 0.0, word[i - 1]
-
     def encode_words(self, words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
-        state: list = [(0.0, "")]
+        child, ends_at, n, viterbi = self.child, self.ends_at, len(self.pieces), self.kind == "unigram"
+        # of each prefix: score, last piece or n + an unknown character, where that begins, open (begin, node of the trie of pieces)
+        states: list = [(0.0, -1, 0, [])]
         last = ""
         for at in sorted(range(len(words)), key=words.__getitem__):
             w = words[at]
-            k = 0
-            while k < min(len(w), len(last)) and w[k] == last[k]:
+            k, most = 0, min(len(w), len(last))
+            while k < most and w[k] == last[k]:
                 k += 1
-            del state[k + 1 :]
-            for i in range(k + 1, len(w) + 1):
-                state.append(self._step(w, i, state))
-            last, i, found = w, len(w), []
+            del states[k + 1 :]
+            for i in range(k, len(w)):
+                ch = ord(w[i])
+                open_, found, begin, best = [], -1, i, None
+                for j, node in [*states[i][3], (i, 0)]:  # longest first
+                    node = child.get(node << 21 | ch)
+                    if node is None:
+                        continue
+                    open_.append((j, node))
+                    p = ends_at[node]
+                    if p < 0:
+                        continue
+                    if viterbi:
+                        s = states[j][0] + self.score[p]
+                        if best is None or s > best:
+                            best, found, begin = s, p, j
+                    elif found < 0 and (j == i or self._ends(None, p) and (j == 0 or self._ends(states[j][1], p))):
+                        found, begin = p, j
+                if viterbi:
+                    s = states[i][0] + self.poor
+                    if best is None or s > best:
+                        best, found, begin = s, -1, i
+                states.append((best or 0.0, found if found >= 0 else n + ch, begin, open_))
+            last, i, ids = w, len(w), []
             while i:
-                p = state[i][1]
-                one = self.ids.get(p)
-                if one is not None:
-                    found.append(one)
+                _, p, begin, _ = states[i]
+                if p < n:
+                    ids.append(p)
                 elif self.byte_ids:
-                    found.extend(self.byte_ids[b] for b in reversed(p.encode()))
-                elif not found or found[-1] != self.unknown or self.kind == "bpe":
-                    found.append(self.unknown)
-                i -= len(p)
-            out[at] = found[::-1]
+                    ids.extend(self.byte_ids[b] for b in reversed(chr(p - n).encode()))
+                elif not ids or ids[-1] != self.unknown or self.kind == "bpe":
+                    ids.append(self.unknown)
+                i = begin
+            out[at] = ids[::-1]
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray, table: SpanTable) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +164,27 @@ class PieceModel:
         values, first, size = table.look(data.tobytes(), s, e, h, make)
         return values[ragged(first, size)], np.bincount(doc, weights=size, minlength=len(off) - 1).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.raw[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+        """Texts of id lists: list i is ids[off[i]:off[i + 1]]."""
+        parts = [np.zeros(0, np.uint8)]
+        for lo in range(0, len(ids), CHUNK):
+            x = ids[lo : lo + CHUNK]
+            parts.append(self.raw[ragged(self.raw_first[x], self.raw_size[x])])
+        data = np.concatenate(parts)
+        ends = np.append(0, np.cumsum(self.raw_size[ids]))[off]
+        first = np.zeros(len(off) - 1, bool)
+        some = np.flatnonzero(np.diff(ends))
+        first[some] = data[ends[some]] == 32  # the mark in front of a text
+        keep = np.ones(len(data), bool)
+        keep[ends[:-1][first]] = False
+        ends = ends - np.append(0, np.cumsum(first))
+        data = data[keep]
+        texts = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        bad = np.flatnonzero(np.append(0, np.cumsum(self.is_byte[ids]))[off[1:]] > np.append(0, np.cumsum(self.is_byte[ids]))[off[:-1]])
+        if not len(bad):
+            return texts
+        mended = {int(i): data[ends[i] : ends[i + 1]].tobytes().decode(errors="replace") for i in bad}  # bytes may be cut off
+        return pa.array([mended[i] if i in mended else texts[i].as_py() for i in range(len(texts))], pa.string())
 
 
 def model(path: str, kind: str) -> PieceModel:
@@ -149,23 +194,26 @@ def model(path: str, kind: str) -> PieceModel:
     return _MODELS[path, kind]
 
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
-    """docs with ids (array of int) and n_tokens (long) of the whole text.
+def encode(docs: DataFrame, path: str, kind: str = "bpe", decoded: bool = False) -> DataFrame:
+    """docs with ids (array of int) and n_tokens (long) of the whole text; with decoded too, the text of these ids, if asked for.
 
     Spaces become marks, one more stands in front; no other normalisation is done. A null or empty
-    text has no ids. Equal rows are encoded one by one; further columns are passed on, those named as
-    a result are replaced. An empty table gives no rows.
+    text has no ids. Equal rows are encoded one by one; a text of any length is encoded whole. Further
+    columns are passed on, those named as a result are replaced. An empty table gives no rows. Decoding in
+    the same pass spares a second worker for each task, with its own tables.
     """
-    kept = docs.drop("ids", "n_tokens")
-    schema = kept.withColumns({"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")}).schema
+    kept = docs.drop("ids", "n_tokens", *(["decoded"] if decoded else []))
+    made = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")} | ({"decoded": F.lit("")} if decoded else {})
+    schema = kept.withColumns(made).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, kind)
         for batch in batches:
             for part in slices(batch):
                 ids, counts = m.encode(*text_buffer(part.column("text")), m.table)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(counts)], names=schema.names)
+                off = np.append(0, np.cumsum(counts))
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(counts), *([m.decode(ids, off)] if decoded else [])], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -178,7 +226,15 @@ def decode(coded: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, kind)
         for batch in batches:
-            texts = [m.decode(x or []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            size = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:  # slices of about CHUNK ids
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+                part = batch.slice(lo, hi - lo)
+                ids = part.column("ids")
+                ids = ids if not ids.null_count else pc.if_else(ids.is_null(), pa.scalar([], ids.type), ids)
+                off = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
+                yield pa.RecordBatch.from_arrays([*part.columns, m.decode(ids.flatten().to_numpy(), off)], names=schema.names)
+                lo = hi
 
     return kept.mapInArrow(run, schema)

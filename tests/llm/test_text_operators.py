@@ -162,6 +162,8 @@ def test_pieces(spark):
     got = pieces.decode(pieces.encode(docs(spark, texts, ids=1, source="s"), path), path).orderBy("doc_id").collect()
     for x in got:
         assert x.ids == sp.encode(x.text or "") and x.decoded == sp.decode(x.ids) and x.n_tokens == len(x.ids)
+    once = pieces.encode(docs(spark, texts, ids=1, decoded=2, source="s"), path, decoded=True).orderBy("doc_id").collect()
+    assert [x.asDict() for x in once] == [x.asDict() for x in got]
 
 
 def test_unigram_pieces_equal_brute_force():
