@@ -26,6 +26,30 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(~c.rlike(NOT_SPACE), F.lit(True))
 
 
+@cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters that fold to one other than their lower case, those others, and (character, text) of those that fold to several."""
+    one, to, many = [], [], []
+    for c in map(chr, range(sys.maxunicode + 1)):
+        full = c.casefold()
+        if len(full) == 1 and full != c:
+            one.append(c)
+            to.append(full)
+        elif len(full) > 1:
+            many.append((c, full))
+    return "".join(one), "".join(to), tuple(many)
+
+
+def folded(c: Column) -> Column:
+    """Full case folding: single characters by a table, those that become several one by one where any occurs."""
+    one, to, many = _folds()
+    any_ = c.rlike("[" + "".join(x for x, _ in many) + "]")
+    long = c
+    for x, full in many:
+        long = F.replace(long, F.lit(x), F.lit(full))
+    return F.translate(F.when(any_, long).otherwise(c), one, to)
+
+
 @cache
 def _digits() -> str:
     """The decimal digits of all scripts but 0-9, each script's from its zero on."""

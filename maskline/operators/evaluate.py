@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.functions.text import SPACE, strip
@@ -61,12 +61,25 @@ def best(swept: DataFrame) -> DataFrame:
 
 
 def per_type(compared: DataFrame, threshold: float) -> DataFrame:
-    return _count(compared.where(F.col("threshold") == threshold), ["type"])
+    """A row of counts and metrics for each type, in their order."""
+    return _count(compared.where(F.col("threshold") == threshold), ["type"]).orderBy("type")
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Gold samples of JSON files (an array of {text, entities: [{type, value}]} each): (file, sample, text, type, value).
+
+    A sample is numbered by its place in its file; one without entities has a row with null type and value.
+    """
+    schema = "text string, entities array<struct<type:string,value:string>>"
+    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<{schema.replace(' string', ':string').replace('entities array', 'entities:array')}>>").alias("s"))
+    each = read.select("file", F.posexplode("s").alias("sample", "x"))
+    return each.select("file", "sample", "x.text", F.explode_outer("x.entities").alias("e")).select("file", "sample", "text", "e.type", "e.value")
 
 
 def errors(compared: DataFrame, predicted: DataFrame, threshold: float, sample: str = "sample_id") -> DataFrame:
-    """False positives, with the confidence of the first prediction that matches, and false negatives."""
+    """False positives, with the confidence of the first prediction that matches, and false negatives, in alphabetical order."""
     wrong = compared.where((F.col("threshold") == threshold) & (F.col("expected") != F.col("predicted")))
     key = [sample, "type", "value"]
     first = predicted.where(F.col("confidence") >= threshold).select(sample, "type", normalize_entity(F.col("value")).alias("value"), "confidence", "ord").groupBy(*key).agg(F.min_by("confidence", "ord").alias("confidence"))
-    return wrong.join(first, key, "left").select(*key, F.when(F.col("predicted"), "FP").otherwise("FN").alias("error"), F.when(F.col("predicted"), F.col("confidence")).alias("confidence"))
+    listed = wrong.join(first, key, "left").select(*key, F.when(F.col("predicted"), "FP").otherwise("FN").alias("error"), F.when(F.col("predicted"), F.col("confidence")).alias("confidence"))
+    return listed.orderBy(sample, "error", "type", "value")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskline.operators.redact import joined, laid
+
 CELL_GAP, LINE_GAP = " | ", "\n"
 
 
@@ -65,6 +67,17 @@ def part_masks(located: DataFrame, mask: str = "mask") -> DataFrame:
     return located.withColumn("mask_slice", F.when(F.length(cut) == width, cut).otherwise(F.repeat(F.lit("*"), width)))
 
 
+def cell_masks(located: DataFrame, keys: Sequence[str], text: str = "cell_text") -> DataFrame:
+    """(keys, text, new_text, matches): each part that findings meet, under all their mask slices; keys name the part.
+
+    located comes from part_masks(). Of overlapping slices a star wins.
+    """
+    spans = F.collect_list(F.struct(F.col("match_start").alias("start"), F.col("match_end").alias("end"), F.col("mask_slice").alias("mask")))
+    of = located.groupBy(*keys, text).agg(spans.alias("_spans"), F.count("*").alias("matches"))
+    apart = of.withColumn("_apart", joined(F.col(text), F.col("_spans")))
+    return apart.withColumn("new_text", laid(F.col(text), F.col("_apart"))).drop("_spans", "_apart")
+
+
 def block_counters(blocks: DataFrame, doc: Sequence[str], order: str, kind: str = "kind") -> DataFrame:
     """Number of each block among those of its kind, from 0, empty ones included."""
     return blocks.withColumn("kind_index", F.row_number().over(Window.partitionBy(*doc, kind).orderBy(order)) - 1)

@@ -54,6 +54,31 @@ def select_for_redaction(findings: DataFrame, selections: DataFrame, doc: str =
     return with_action(findings).unionByName(chosen.select(*findings.columns))
 
 
+def select_all(findings: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Selections (doc, finding_id) of all findings under review."""
+    return with_action(findings, "REVIEW").select(doc, "finding_id").distinct()
+
+
+def clear(selections: DataFrame) -> DataFrame:
+    return selections.limit(0)
+
+
+def toggle(selections: DataFrame, ids: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """selections without those that ids name too, and with those that only ids name."""
+    s, i = (x.select(doc, "finding_id").distinct() for x in (selections, ids))
+    return s.join(i, [doc, "finding_id"], "left_anti").unionByName(i.join(s, [doc, "finding_id"], "left_anti"))
+
+
+def union_findings(rules: DataFrame, model: DataFrame | None = None, include_model: bool = True) -> DataFrame:
+    """Findings of the rules and, unless that is switched off, those of an entity model."""
+    return rules.unionByName(model.select(*rules.columns)) if include_model and model is not None else rules
+
+
+def in_document_order(findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """findings sorted by page and start; those of one start in the order of detectors and matches."""
+    return findings.orderBy(*keys, "start", "detector_ord", "match_ord")
+
+
 def nothing_selected(documents: DataFrame, selected: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Documents without a selected finding, as rows of status 404."""
     return documents.select(doc).join(selected.select(doc), doc, "left_anti").withColumn("http_code", F.lit(404)).withColumn("status", F.lit("nothing_selected"))
@@ -74,5 +99,13 @@ def summary_in_row(documents: DataFrame, keys: Sequence[str] = ("doc_id",), text
     return of.select(*keys, F.size("_found").cast("long").alias("finding_count"), count("AUTO_REDACT").alias("auto_count"), count("REVIEW").alias("review_count"))
 
 
+def counts_with_selection(graded: DataFrame, selections: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, finding_count, auto_count, review_count, selected_count) of documents with findings or selections."""
+    action = F.col("redaction_action")
+    of = graded.groupBy(doc).agg(F.count("*").alias("finding_count"), F.count_if(action == "AUTO_REDACT").alias("auto_count"), F.count_if(action == "REVIEW").alias("review_count"))
+    chosen = selections.select(doc, "finding_id").distinct().groupBy(doc).agg(F.count("*").alias("selected_count"))
+    return of.join(chosen, doc, "full").na.fill(0, ["finding_count", "auto_count", "review_count", "selected_count"])
+
+
 def percent_label(confidence: Column) -> Column:
     return F.concat(F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))

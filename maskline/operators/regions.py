@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskline.functions.text import SPACE, is_blank, strip
+from maskline.functions.masks import drawable, mask_value, segment
+from maskline.functions.text import SPACE, folded, is_blank, strip
 from maskline.operators.layout import overlaps
 
 # An image's least share of its page, the words' least cover of it, and the overlap of duplicates.
 IMAGE_SHARE, WORD_COVER, SAME_BOX, OCR_FONT, SEPARATOR = 0.20, 0.05, 0.80, "GlyphLessFont", "\n|\n"
+# Fixed value: room in points between a box and what is written in it.
+PADDING = 1
 SIDES = ("x0", "y0", "x1", "y1")
 
 
@@ -45,8 +48,7 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 def normalize_span(text: Column) -> Column:
     """Folded case, one space for white space."""
-    folded = F.lower(F.regexp_replace(F.translate(text, "ſς", "sσ"), "[ßẞ]", "ss"))
-    return strip(F.regexp_replace(folded, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(folded(text), f"{SPACE}+", " "))
 
 
 def region_boxes(findings: DataFrame, regions: DataFrame, keys: Sequence[str], finding: Sequence[str]) -> DataFrame:
@@ -75,6 +77,56 @@ def occurrence_starts(text: Column, value: Column) -> Column:
     return F.when((value != "") & (many > 1), F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.when(F.size(a) == 0, F.array(n)).otherwise(grow(a, n)))).otherwise(F.array().cast("array<int>"))
 
 
+def occurrence(text: Column, value: Column, start: Column) -> Column:
+    """(occurrence, occurrences): which occurrence of value in text begins at start, the first if none does, and of how many (1 at least)."""
+    starts = occurrence_starts(text, value)
+    at = F.coalesce(F.array_position(starts, start.cast("int")), F.lit(0))
+    return F.struct(F.greatest(at - 1, F.lit(0)).cast("int").alias("occurrence"), F.greatest(F.size(starts), F.lit(1)).alias("occurrences"))
+
+
+def locate_values(found: DataFrame, pages: DataFrame, rectangles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rectangles (keys, value, rect_ord) of each value on its page those of each finding's occurrence.
+
+    found (keys, value, start) meets its page (keys, text) for the occurrence alone; texts stay there.
+    """
+    own = [*keys, "value"]
+    asked = found.join(pages.select(*keys, F.col("text").alias("_text")), list(keys)).withColumn("_at", occurrence(F.col("_text"), F.col("value"), F.col("start")))
+    return allocate_rectangles(asked.select(*found.columns, "_at.*"), rectangles, own)
+
+
+def redaction_plan(boxes: DataFrame, findings: DataFrame, page_counts: DataFrame, doc: str, page: str, finding: Sequence[str]) -> DataFrame:
+    """What is drawn: for each box of a finding its rectangle, its part of the mask and where that is written.
+
+    boxes (doc, page, finding, x0.., box_start, box_end), findings (doc, page, finding, type, value),
+    page_counts (doc, page_count). Pages that the document doesn't have are left out. drawn is false where
+    there is nothing to write or no room inside the padding; the rectangle is blanked all the same.
+    """
+    kept = findings.join(page_counts, doc).where(F.col(page).between(1, F.col("page_count")))
+    one = [doc, page, *finding]
+    masked = kept.select(*one, "type", "value", mask_value(F.col("value"), F.col("type")).alias("mask"))
+    out = boxes.join(masked, one).withColumn("segment", drawable(segment(F.col("mask"), F.col("box_start"), F.col("box_end"), F.length("value"))))
+    inner = {f"text_{s}": F.col(s) + (PADDING if s in ("x0", "y0") else -PADDING) for s in SIDES}
+    out = out.withColumns(inner)
+    room = (F.col("text_x0") < F.col("text_x1")) & (F.col("text_y0") < F.col("text_y1"))
+    return out.withColumn("drawn", (F.col("segment") != "") & room).drop("mask", "value", "type")
+
+
+def ocr_layout(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Non-empty spans (keys, block, line, span_ord, text) with start and end in their page's text: a break after each line with text."""
+    order = Window.partitionBy(*keys).orderBy("block", "line", "span_ord")
+    here, was = F.struct("block", "line"), F.lag(F.struct("block", "line")).over(order)
+    placed = spans.where("text <> ''").withColumn("gap", F.when(was.isNull() | (was == here), "").otherwise("\n"))
+    placed = placed.withColumn("end", F.sum(F.length("gap") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return placed.withColumn("start", (F.col("end") - F.length("text")).cast("int"))
+
+
+def ocr_text(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, text) of pages with text; chars of a span, an array, are joined by array_join before."""
+    laid = ocr_layout(spans, keys)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "gap", "text"))), lambda x: F.concat(x["gap"], x["text"])), "")
+    return laid.groupBy(*keys).agg(F.concat(joined, F.lit("\n")).alias("text"))
+
+
 def allocate_rectangles(found: DataFrame, rectangles: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of the rectangles (keys, rect_ord) of a value on its page those of one occurrence.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskline import api
 from maskline.functions import masks
-from maskline.operators import detect, evaluate, layout, ner, policy, redact, regions
+from maskline.operators import analyze, detect, evaluate, layout, ner, policy, redact, regions
 from maskline.plans import inputs, oracle
 from maskline.plans.inputs import from_sql, table
 from maskline.sources import ingest, office
@@ -291,24 +293,143 @@ def xlsx_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", "page_number", "sheet_name", "row", "column", "coordinate", "cell_text", "is_formula")
 
 
-def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expiry stream over the events up to its end, run once and read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskline-")
-    at = f"{root.rstrip('/')}/retention-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, touches: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream over touches up to their end, run once and read back."""
+    at = _scratch(spark)
     state = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state)
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.to_timestamp_ltz("ts").alias("ts"))
-    events.write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
-    retention.run_sweeps(retention.expire_stream(stream), f"{at}/out", f"{at}/state", once=True).awaitTermination()
-    return spark.read.schema("doc_id long, last_touch timestamp").parquet(f"{at}/out")
+    touches.write.parquet(f"{at}/in")
+    made = make(spark.readStream.schema(touches.schema).parquet(f"{at}/in"))
+    retention.run_sweeps(made, f"{at}/out", f"{at}/state", once=True).awaitTermination()
+    out = spark.read.schema(made.schema).parquet(f"{at}/out")
+    return out.withColumn("last_ms", F.unix_millis("last_touch")).drop("last_touch")
+
+
+def _scratch(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskline-")
+    return f"{root.rstrip('/')}/maskline-{uuid.uuid4().hex}"
+
+
+def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.to_timestamp_ltz("ts").alias("ts"), (F.col("event_type") == "purchase").alias("closes"))
+
+
+def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that expire by the events' end."""
+    return _streamed(spark, _touches(spark, sf_dir).drop("closes"), retention.expire_stream)
+
+
+def close_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that expire or, with a purchase for a download, are removed at once."""
+    return _streamed(spark, _touches(spark, sf_dir), retention.close_stream)
+
+
+def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return retention.deleted_count(retention.sweep(from_sql(spark, sf_dir, oracle.TOUCHED), F.lit(end)))
+
+
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = analyze.analyze(from_sql(spark, sf_dir, oracle.PAGES).withColumnRenamed("doc", "doc_id"))
+    line = lambda f: F.concat_ws("|", f["finding_id"], f["redaction_action"], F.coalesce(f["normalized_value"], F.lit("")))
+    return done.withColumn("found", F.array_join(F.transform("findings", line), ";")).drop("findings")
+
+
+def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect(from_sql(spark, sf_dir, oracle.MAIL_PAGES), ["page"])
+    both = policy.enrich(policy.union_findings(found, from_sql(spark, sf_dir, oracle.MODEL_FOUND)), "page")
+    return policy.in_document_order(both, ["page"]).select("page", "type", "value", "start", "end", "source", "redaction_action", "detector_ord")
+
+
+def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = from_sql(spark, sf_dir, oracle.THRICE)
+    rects = from_sql(spark, sf_dir, oracle.RECTS).join(pages.select("page", "value"), "page")
+    found = regions.locate_values(pages.select("page", "value", "start"), pages.select("page", "text"), rects, ["page"])
+    return found.select("page", "rect_ord", "rect_index")
+
+
+def redaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = from_sql(spark, sf_dir, oracle.PLAN_FINDINGS)
+    at = ["doc", "page_number", "page"]
+    boxes = region_boxes(spark, sf_dir).join(found.select(*at, "finding"), ["page", "finding"])
+    boxes = boxes.withColumns({s: F.col(s) * 10 for s in regions.SIDES})
+    counts = found.select("doc").distinct().withColumn("page_count", F.lit(60))
+    plan = regions.redaction_plan(boxes, found, counts, "doc", "page_number", ["page", "finding"])
+    return plan.select("page", "finding", "box_ord", "segment", *(f"text_{s}" for s in regions.SIDES), "drawn")
+
+
+def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.ocr_text(from_sql(spark, sf_dir, oracle.SCANNED), ["page"])
+
+
+def gold_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as JSON files of some hundred each and read as gold."""
+    entity = lambda kind, value: F.struct(F.lit(kind).alias("type"), F.col(value).alias("value"))
+    none = F.array().cast("array<struct<type:string,value:string>>")
+    entities = F.when(F.col("bare"), none).otherwise(F.array(entity("PERSON", "person"), entity("LOCATION", "city")))
+    samples = from_sql(spark, sf_dir, oracle.SAMPLES).select("pile", F.struct("text", entities.alias("entities")).alias("x"))
+    at = _scratch(spark)
+    samples.groupBy("pile").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("value")).write.partitionBy("pile").text(at)
+    return evaluate.read_gold(spark, at).select("text", "type", "value")
+
+
+def cell_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = layout.line_offsets(from_sql(spark, sf_dir, oracle.WHOLE_CELLS), ["conv_id"], "row", "column_no")
+    found = from_sql(spark, sf_dir, oracle.WHOLE_SPANS).withColumn("mask", F.repeat(F.lit("*"), F.col("end") - F.col("start")))
+    located = layout.part_masks(layout.locate(found, placed, ["conv_id"], "cell_text"))
+    return layout.cell_masks(located, ["conv_id", "row", "column_no"]).drop("cell_text")
+
+
+def upload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.account(from_sql(spark, sf_dir, oracle.CHUNKS))
+
+
+def review_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _graded(spark, sf_dir)
+    every = policy.select_all(graded)
+    return policy.counts_with_selection(graded, policy.toggle(every.where("doc_id % 2 = 0"), every.where("doc_id % 3 = 0")))
+
+
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, oracle.LABELS).select("id", ingest.extension_after_dot(F.col("filename")).alias("extension"), ingest.size_label(F.col("size_bytes")).alias("size"))
+
+
+def _client_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A file of twenty customers each: paragraphs of several runs and tables, or rows with formulas and dates."""
+    rows = from_sql(spark, sf_dir, oracle.CLIENTS).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "mail", "days"))).alias("rows"))
+
+    def build(batches):
+        for batch in batches:
+            made = []
+            for clients in batch["rows"]:
+                if kind == "docx":
+                    made.append(office.make_docx([b for r in clients for b in (["E-mail: ", r["mail"][:-6], r["mail"][-6:]], [[[[r["c_name"]]], [["Kart 4111 1111 1111 1111"]]]])]))
+                else:
+                    start = dt.datetime(2020, 1, 1, 12)
+                    made.append(office.make_xlsx({"clients": [[r["c_name"], ("LOWER(A1)", r["mail"]), start + dt.timedelta(days=int(r["days"])), ("3+4", 7)] for r in clients]}))
+            yield batch[["doc_id"]].assign(content=made)
+
+    return rows.select(F.col("doc").cast("string").alias("doc_id"), "rows").mapInPandas(build, "doc_id string, content binary")
+
+
+def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = api.redacted(_client_files(spark, sf_dir, "docx"), "docx")
+    return office.parse_docx(done).select("doc_id", "kind", "block", F.coalesce("cell_index", F.lit(0)).alias("cell_index"), "run_index", "text")
+
+
+def xlsx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = api.redacted(_client_files(spark, sf_dir, "xlsx"), "xlsx")
+    return office.parse_xlsx(done).select("doc_id", "coordinate", "cell_text", "is_formula")
+
 
+analyzed.__name__ = "analyze"
 
 QUERIES = (
     r1_email, r1_email_pages, r8_card_luhn, r8_card_pages, r2_phone, r3_tckn, r5_iban, detect_all_enriched, findings_summary, redact_text, grade_findings, select_review,
     nothing_selected, sheet_text, cell_offsets, cell_matches, sheet_text_whole, cell_offsets_whole, cell_matches_whole, run_offsets, block_counters, ner_merge, region_boxes, bbox_overlap, page_class, hybrid_dedupe, hybrid_text,
     rect_allocation, fragment_starts, eval_sweep, eval_best, eval_per_type, eval_errors, ingest_gate, uuid_check, zip_name_guard, resolve_format, delete_documents,
-    retention_stale, retention_sessions, docx_parse, xlsx_parse, retention_stream,
+    retention_stale, retention_sessions, docx_parse, xlsx_parse, retention_stream, close_stream, retention_sweep, analyzed, findings_union, occurrence_index, redaction_plan, ocr_text, gold_json,
+    cell_masks, upload_bytes, review_selection, file_labels, docx_redact, xlsx_redact,
 )
 
 

@@ -80,6 +80,25 @@ select p_partkey as id, case p_partkey % 8 when 0 then '../evil.txt' when 1 then
 """
 SOURCES = "select o_orderkey % 1000 as doc_id, case o_custkey % 4 when 0 then '.xlsx' when 1 then '.docx' when 2 then '.pdf' else '.txt' end as ext from orders"
 
+#: Pages of which ten make a document, texts with a name and an address, values that occur thrice, spans of scanned lines.
+PAGES = "select cast(floor(doc_id / 10) as bigint) as doc, cast(doc_id % 10 + 1 as bigint) as page_number, text from documents"
+MAIL_PAGES = "select n_nationkey as page, concat(n_name, ' <', lower(replace(n_name, ' ', '.')), '@example.com>') as text from nation"
+MODEL_FOUND = """
+select n_nationkey as page, 'LOCATION' as type, n_name as value, 0 as start, length(n_name) as end, cast(0.9 as double) as confidence, 'ner_model' as source, cast(null as string) as normalized_value, 5 as detector_ord, 0 as match_ord from nation
+"""
+THRICE = "select o_orderkey as page, o_orderpriority as value, concat(o_orderpriority, ' ', o_orderpriority, ' ', o_orderpriority) as text, cast(o_custkey % 4 * (length(o_orderpriority) + 1) as int) as start from orders"
+PLAN_FINDINGS = "select o_orderkey as page, o_custkey % 3 as finding, cast(floor(o_orderkey / 100) as bigint) as doc, o_orderkey % 100 as page_number, 'PERSON' as type, substring(repeat('Name  Other ab ', 8), 1, cast(5 + o_orderkey % 60 as int)) as value from orders"
+SCANNED = """
+select l_orderkey as page, cast(floor(no / 3) as int) as block, cast(floor(no / 2) as int) as line, no as span_ord, case when no % 4 = 0 then '' else concat('Span ', cast(l_suppkey % 5 as string)) end as text
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as no from lineitem) li
+"""
+SAMPLES = "select cast(floor(o_orderkey / 1000) as bigint) as pile, o_orderkey, concat('Order ', cast(o_orderkey as string)) as text, concat('Name ', cast(o_custkey % 40 as string)) as person, concat('City ', cast(o_custkey % 7 as string)) as city, o_orderkey % 5 = 0 as bare from orders"
+TOUCHED = "select concat(lpad(cast(user_id as string), 8, '0'), '-0000-', case when user_id % 5 = 0 then '5' else '4' end, '000-8000-000000000000') as doc_id, ts from events"
+CHUNKS = "select l_orderkey as upload, no as chunk, cast(l_quantity * 200000 as bigint) as n_bytes from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as no from lineitem) li"
+LABELS = "select p_partkey as id, case p_partkey % 4 when 0 then concat(p_name, '.PDF') when 1 then '.hidden' when 2 then 'plain' else 'a.tar.Xlsx' end as filename, cast(p_partkey * 1000 + 7 as bigint) as size_bytes from part"
+#: A file of twenty customers: an address cut over two runs, a table with a card; a sheet with formulas and dates.
+CLIENTS = "select cast(floor(c_custkey / 20) as bigint) as doc, c_custkey, c_name, concat('client.', cast(c_custkey as string), '@example.com') as mail, cast(c_custkey % 1000 as int) as days from customer"
+
 _A, _N = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
 
@@ -249,6 +268,54 @@ select page, span_ord, source from s where not (source = 'ocr' and exists (selec
     select cast(conv_id as varchar) as doc_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as paragraph_index, unnest([0, 1]) as run_index, unnest([role, text]) as text from conversations where text is not null) x) y where text <> ''""",
         "xlsx_parse": """select doc_id, 1 as page_number, 'chat' as sheet_name, cast(r as integer) as "row", c as "column", ['A', 'B', 'C'][c] || r as coordinate, t as cell_text, false as is_formula from (
   select cast(conv_id as varchar) as doc_id, row_number() over (partition by conv_id order by turn) as r, unnest([1, 2, 3]) as c, unnest([cast(turn as varchar), role, text]) as t from conversations where text is not null) x""",
+    }
+    mask = _mask("EMAIL", "mail")
+    out |= {
+        "analyze": f"""
+with f as (select cast(floor(doc_id / 10) as bigint) as doc, doc_id % 10 + 1 as page, *, (doc_id % 10 + 1) || ':' || "start" || ':' || "end" || ':' || type || '|' || {_ACTION} || '|' || coalesce(normalized_value, '') as x from ({_ALL}) a),
+g as (select doc, count(*) as n, string_agg(x, ';' order by page, "start", detector_ord, k) as x from f group by 1)
+select p.doc as doc_id, 'analyzed' as status, count(*) as page_count, coalesce(min(g.n), 0) as finding_count, coalesce(min(g.x), '') as found from ({PAGES}) p left join g on g.doc = p.doc group by 1""",
+        "findings_union": f"""select page, type, value, "start", "end", source, {_ACTION} as redaction_action, detector_ord from (
+  select page, type, value, "start", "end", confidence, 'rule_engine' as source, 0 as detector_ord from ({_found('EMAIL', MAIL_PAGES, 'page', 'text')}) r
+  union all select page, type, value, "start", "end", confidence, source, detector_ord from ({MODEL_FOUND}) m) u""",
+        "occurrence_index": f"""select page, rect_ord, cast(row_number() over (partition by page order by rect_ord) - 1 as integer) as rect_index from (
+  select page, rect_ord, case when o_custkey % 4 < 3 then o_custkey % 4 else 0 end as occurrence, ntile(3) over (partition by page order by rect_ord) - 1 as g from ({RECTS}) r join orders on o_orderkey = page) x where g = occurrence""",
+        "redaction_plan": f"""
+with b as (select * from ({out['region_boxes']}) rb),
+f as (select page, finding, value, {_mask('PERSON', 'value')} as mask from ({PLAN_FINDINGS}) pf where page_number between 1 and 60),
+j as (select b.*, case when box_start >= 0 and box_start < box_end and box_end <= length(mask) then substring(mask, box_start + 1, box_end - box_start) else repeat('*', length(value)) end as segment from b join f on f.page = b.page and f.finding = b.finding)
+select page, finding, box_ord, segment, x0 * 10 + 1 as text_x0, y0 * 10 + 1 as text_y0, x1 * 10 - 1 as text_x1, y1 * 10 - 1 as text_y1, segment <> '' as drawn from j""",
+        "ocr_text": f"""select page, string_agg(gap || text, '' order by span_ord) || chr(10) as text from (
+  select *, case when lag(line) over w is null or (lag(line) over w = line and lag(block) over w = block) then '' else chr(10) end as gap from ({SCANNED}) s where text <> '' window w as (partition by page order by span_ord)) x group by 1""",
+        "gold_json": f"select text, 'PERSON' as type, person as value from ({SAMPLES}) s where not bare union all select text, 'LOCATION', city from ({SAMPLES}) s where not bare union all select text, null, null from ({SAMPLES}) s where bare",
+        "cell_masks": f"""select conv_id, "row", column_no, count(*) as matches, min(array_to_string(list_transform(range(length(cell_text)), lambda i: case when len(list_filter(spans, lambda s: s.a <= i and i < s.b)) > 0 then '*' else cell_text[i + 1] end), '')) as new_text
+from (select p.conv_id, p."row", p.column_no, p.cell_text, list(struct_pack(a := greatest(f."start", p."start") - p."start", b := least(f."end", p."end") - p."start")) over (partition by p.conv_id, p."row", p.column_no) as spans
+  from ({WHOLE_SPANS}) f join ({_PLACED.replace(CELLS, WHOLE_CELLS)}) p on f.conv_id = p.conv_id and greatest(f."start", p."start") < least(f."end", p."end")) x group by 1, 2, 3""",
+        "retention_sweep": f"select count(*) as deleted_count from (select doc_id from ({TOUCHED}) t where doc_id[15] = '4' group by 1 having epoch_us((select max(ts) from events)) - epoch_us(max(ts)) >= 3600000000) x",
+        "upload_bytes": f"""select upload, max(total) as bytes_read, count(*) as chunks_read, max(total) <= 20971520 as accepted from (
+  select *, cast(sum(n_bytes) over (partition by upload order by chunk) as bigint) as total from ({CHUNKS}) c) x where total - n_bytes <= 20971520 group by 1""",
+        "review_selection": f"""
+with g as ({_GRADED}), r as (select distinct doc_id, finding_id from g where redaction_action = 'REVIEW'),
+a as (select * from r where doc_id % 2 = 0), i as (select * from r where doc_id % 3 = 0),
+t as ((select * from a except select * from i) union all (select * from i except select * from a)),
+n as (select doc_id, count(*) as selected_count from t group by 1)
+select g.doc_id, count(*) as finding_count, count(*) filter (where redaction_action = 'AUTO_REDACT') as auto_count, count(*) filter (where redaction_action = 'REVIEW') as review_count, coalesce(min(selected_count), 0) as selected_count from g left join n on n.doc_id = g.doc_id group by 1""",
+        "file_labels": f"select id, case when contains(filename, '.') then lower(string_split(filename, '.')[-1]) else '' end as extension, format('{{:.1f}} KB', size_bytes / 1024) as size from ({LABELS}) l",
+        "fragment_starts": """
+with recursive w as (select p_partkey, p_name, string_split(p_name, ' ') as f from part),
+s as (select p_partkey, p_name, f, 0 as rect_index, 0 as "start" from w
+  union all select p_partkey, p_name, f, rect_index + 1, cast("start" + instr(substring(p_name, "start" + 1), f[rect_index + 2]) - 1 as integer) from s where rect_index + 1 < len(f))
+select p_partkey, rect_index, "start" from s""",
+        "retention_stream": "select doc_id, last_ms from (select user_id as doc_id, epoch_us(max(ts)) // 1000 as last_ms from events group by 1) x where last_ms + 3600000 < (select epoch_us(max(ts)) // 1000 from events) - 600000",
+        "close_stream": """select doc_id, coalesce(closed_ms, last_ms) as last_ms, case when closed_ms is not null then 'downloaded' else 'expired' end as reason from (
+  select user_id as doc_id, epoch_us(max(ts)) // 1000 as last_ms, epoch_us(max(ts) filter (where event_type = 'purchase')) // 1000 as closed_ms from events group by 1) x where closed_ms is not null or last_ms + 3600000 < (select epoch_us(max(ts)) // 1000 from events) - 600000""",
+        "docx_redact": f"""
+with c as (select cast(doc as varchar) as doc_id, row_number() over (partition by doc order by c_custkey) - 1 as i, c_name, mail, {mask} as mask from ({CLIENTS}) c0)
+select doc_id, 'paragraph' as kind, cast(2 * i as integer) as block, 0 as cell_index, r as run_index, case r when 0 then 'E-mail: ' when 1 then substring(mask, 1, length(mail) - 6) else substring(mask, length(mail) - 5) end as text from c, (select unnest([0, 1, 2]) as r) n
+union all select doc_id, 'table_cell', cast(2 * i + 1 as integer), k, 0, case k when 0 then c_name else 'Kart 4*** **** **** ***1' end from c, (select unnest([0, 1]) as k) n""",
+        "xlsx_redact": f"""
+with c as (select cast(doc as varchar) as doc_id, row_number() over (partition by doc order by c_custkey) as r, c_name, mail, days, {mask} as mask from ({CLIENTS}) c0)
+select doc_id, ['A', 'B', 'C', 'D'][k] || r as coordinate, case k when 1 then c_name when 2 then mask when 3 then strftime(timestamp '2020-01-01 12:00:00' + to_days(days), '%Y-%m-%d %H:%M:%S') else '7' end as cell_text, k = 4 as is_formula from c, (select unnest([1, 2, 3, 4]) as k) n""",
     }
     out |= {f"{name}_whole": out[name].replace(CELLS, WHOLE_CELLS).replace(SPANS, WHOLE_SPANS) for name in ("sheet_text", "cell_offsets", "cell_matches")}
     return out | {f"mask_{k.lower()}": f"select id, value, {_mask(k, 'value')} as masked from ({v}) v" for k, v in VALUES.items()}

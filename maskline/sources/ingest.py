@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
 
 
+def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """As read_files(), of files as they arrive."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
+
+
+def account(chunks: DataFrame, upload: str = "upload", order: str = "chunk", size: str = "n_bytes", limit: int = MAX_FILE) -> DataFrame:
+    """(upload, bytes_read, chunks_read, accepted): sizes added up chunk by chunk; reading ends with the chunk that exceeds limit."""
+    upto = Window.partitionBy(upload).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = chunks.withColumn("_total", F.sum(size).over(upto)).withColumn("_before", F.col("_total") - F.col(size))
+    read = running.where(F.col("_before") <= limit)  # an upload within the limit so far is read on
+    return read.groupBy(upload).agg(F.max("_total").alias("bytes_read"), F.count("*").alias("chunks_read")).withColumn("accepted", F.col("bytes_read") <= limit)
+
+
 def with_entries(files: DataFrame) -> DataFrame:
     """files with entries, the archive's table of contents; null where content is no archive. Nothing is inflated."""
     schema = T.StructType([*files.schema.fields, T.StructField("entries", T.ArrayType(ENTRY))])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessorHandle, TimerValues
 
+from maskline.sources.ingest import is_document_id
+
 # Seconds that an idle document is kept, and between two sweeps.
 RETENTION_S, SWEEP_S = 3600, 300
 
@@ -24,6 +26,15 @@ def stale(touches: DataFrame, now: Column, doc: str = "doc_id", ts: str = "ts",
     return last_touch(touches, doc, ts).withColumn("age_s", age / 1e6).where(F.col("age_s") >= retention_s)
 
 
+def sweep(touches: DataFrame, now: Column, doc: str = "doc_id", ts: str = "ts", retention_s: int = RETENTION_S) -> DataFrame:
+    """As stale(), of documents alone: what isn't named like one is never removed."""
+    return stale(touches.where(is_document_id(F.col(doc))), now, doc, ts, retention_s)
+
+
+def deleted_count(swept: DataFrame) -> DataFrame:
+    return swept.agg(F.count("*").alias("deleted_count"))
+
+
 class Expiry(StatefulProcessor):
     """Keeps the last touch of each document; a timer at last touch + retention emits it and forgets it."""
 
@@ -54,6 +65,32 @@ class Expiry(StatefulProcessor):
         pass
 
 
+class Closing(Expiry):
+    """As Expiry, and a touch that closes its document (its download) removes that at once."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        rows = list(rows)
+        closed = [pd.to_datetime(b.loc[b["closes"], "ts"]).max() for b in rows if b["closes"].any()]
+        if not closed:
+            yield from super().handleInputRows(key, iter(rows), timerValues)
+            return
+        if self.last.exists():
+            self.handle.deleteTimer(self.last.get()[0] + self.retention_ms)
+            self.last.clear()
+        yield pd.DataFrame({"doc_id": [key[0]], "last_touch": [max(closed)], "reason": ["downloaded"]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for gone in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield gone.assign(reason="expired")
+
+
+def close_stream(touches: DataFrame, doc: str = "doc_id", late: str = "10 minutes", retention_s: int = RETENTION_S) -> DataFrame:
+    """A stream of touches (doc, ts, closes) to one of removed documents (doc_id, last_touch, reason): downloaded or expired."""
+    events = touches.select(F.col(doc).alias("doc_id"), "ts", F.coalesce("closes", F.lit(False)).alias("closes")).withWatermark("ts", late)
+    kind = dict(events.dtypes)["doc_id"]
+    return events.groupBy("doc_id").transformWithStateInPandas(Closing(retention_s), f"doc_id {kind}, last_touch timestamp, reason string", "Append", "EventTime")
+
+
 def expire_stream(touches: DataFrame, doc: str = "doc_id", late: str = "10 minutes", retention_s: int = RETENTION_S) -> DataFrame:
     """A stream of touches (doc, ts) to one of expired documents; touches later than late are ignored."""
     events = touches.select(F.col(doc).alias("doc_id"), "ts").withWatermark("ts", late)

@@ -1,11 +1,14 @@
 """Detection, redaction, layout, entities, evaluation, files and retention on small literal inputs."""
 
 import datetime as dt
+import io
 import re
+import zipfile
 
 from pyspark.sql import functions as F
 
-from maskline.operators import detect, evaluate, layout, ner, redact, regions
+from maskline import api
+from maskline.operators import analyze, detect, evaluate, layout, ner, policy, redact, regions
 from maskline.sources import ingest, office
 from maskline.streaming import retention
 
@@ -14,15 +17,27 @@ def texts(spark, *values):
     return spark.createDataFrame(list(enumerate(values)), "doc_id int, text string")
 
 
+CARD = "5500 0000 0000 0004"
+
+
 def test_document_order(spark):
-    t = texts(spark, "E-mail: test@example.com\nTelefon: 0532 123 45 67\nKart: 4111 1111 1111 1111", "Kart: 4111 1111 1111 1111\nE-mail: test@example.com", "Ödeme hesabı: TR33 0006 1005 1978 6457 8413 26", None, "", "no numbers")
-    got = detect.detect(t, ["doc_id"]).orderBy("doc_id", "start", "detector_ord", "match_ord").collect()
-    assert [(r.doc_id, r.type) for r in got] == [(0, "EMAIL"), (0, "PHONE"), (0, "CARD_NUMBER"), (1, "CARD_NUMBER"), (1, "EMAIL"), (2, "IBAN")]
-    assert got[2].normalized_value == "4111111111111111" and got[0].confidence == 0.99 and got[1].confidence == 0.95
+    t = texts(spark, f"Yaz: deniz@posta.example.org\nAra: 0555 987 65 43\nOde: {CARD}", f"Ode: {CARD}; Yaz: deniz@posta.example.org", None, "", "nothing to see")
+    got = policy.in_document_order(detect.detect(t, ["doc_id"])).collect()
+    assert [(r.doc_id, r.type) for r in got] == [(0, "EMAIL"), (0, "PHONE"), (0, "CARD_NUMBER"), (1, "CARD_NUMBER"), (1, "EMAIL")]
+    assert got[2].normalized_value == CARD.replace(" ", "") and [r.confidence for r in got[:2]] == [0.99, 0.95]
     by = {r.doc_id: r.text for r in t.collect()}
     assert all(by[r.doc_id][r.start : r.end].strip() == r.value for r in got)
 
 
+def test_rows_that_share_a_key_stay_apart(spark):
+    rows = [(1, "to a@b.example"), (1, "a@b.example and c@d.example"), (1, "to a@b.example"), (None, "x a@b.example")]
+    t = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted((str(r.doc_id), r.start) for r in detect.detect(t, ["doc_id"]).collect()) == [("1", 0), ("1", 3), ("1", 3), ("1", 16), ("None", 2)]
+    assert sorted(r.redacted for r in redact.redact_rules(t).collect()) == ["*@*.example and *@*.example", "to *@*.example", "to *@*.example", "x *@*.example"]
+    plan = redact.redact_rules(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_patterns_as_unicode_regex(spark):
     """Seeded strings around every pattern's alphabet: the native patterns equal Unicode-aware matching."""
     import random
@@ -43,28 +58,27 @@ def test_patterns_as_unicode_regex(spark):
 
 
 def test_redaction(spark):
-    t = texts(spark, "Yaz: ayse.yilmaz@example.com, 😀 ara 0532 123 45 67!", "clean", None)
-    out = {r.doc_id: r.redacted for r in redact.redact(t, detect.detect(t, ["doc_id"])).collect()}
-    assert out == {0: "Yaz: a*********z@e*****e.com, 😀 ara***** *** ** *7!"[:0] + out[0], 1: "clean", 2: None}
-    assert out[0].startswith("Yaz: a*********z@e*****e.com, 😀 ara") and len(out[0]) == len("Yaz: ayse.yilmaz@example.com, 😀 ara 0532 123 45 67!")
+    t = texts(spark, "Yaz: deniz.kaya@posta.example.org, 😀 ara 0555 987 65 43!", "clean", None)
+    want = {0: "Yaz: d********a@p***a.e*****e.org, 😀 ara 0*** *** ** *3!", 1: "clean", 2: None}
+    assert {r.doc_id: r.redacted for r in redact.redact(t, detect.detect(t, ["doc_id"])).collect()} == want
+    assert {r.doc_id: r.redacted for r in redact.redact_rules(t).collect()} == want
     spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(m).alias("mask")) for a, b, m in ((2, 6, "c**f"), (4, 8, "**gh"), (9, 10, "*"))))
     assert spark.range(1).select(redact.lay_over(F.lit("abcdefghij"), spans)).first()[0] == "abc***ghi*"
-    both = [(0, "12345678901", 0, 11, "TCKN"), (0, "12345678901", 0, 11, "PHONE")]
+    both = [(0, "55598765432", 0, 11, "TCKN"), (0, "55598765432", 0, 11, "PHONE")]
     f = spark.createDataFrame(both, "doc_id int, value string, start int, end int, type string")
-    assert redact.redact(texts(spark, "12345678901"), f).first().redacted == "*" * 11
+    assert redact.redact(texts(spark, "55598765432"), f).first().redacted == "*" * 11
 
 
 def test_rows_and_cells(spark):
-    cells = spark.createDataFrame([("s", 1, 1, "Ad"), ("s", 1, 2, None), ("s", 1, 3, "Soyad"), ("s", 2, 1, ""), ("s", 3, 1, "Ayfer")], "page string, row int, col int, cell_text string")
-    assert layout.page_text(cells, ["page"], "row", "col").first().text == "Ad | Soyad\nAyfer"
-    placed = layout.line_offsets(cells, ["page"], "row", "col")
-    text = "Ad | Soyad\nAyfer"
-    assert all(text[r.start : r.end] == r.cell_text for r in placed.collect())
-    two = layout.line_offsets(spark.createDataFrame([("s", 1, 1, "Hello"), ("s", 1, 2, "World")], "page string, row int, col int, cell_text string"), ["page"], "row", "col")
-    f = spark.createDataFrame([("s", "PERSON", "llo | Wor", 2, 11)], "page string, type string, value string, start int, end int")
-    hit = layout.part_masks(layout.locate(redact.masked(f), two, ["page"], "cell_text"))
-    spans = hit.groupBy("page", "row", "col", "cell_text").agg(F.collect_list(F.struct(F.col("match_start").alias("start"), F.col("match_end").alias("end"), F.col("mask_slice").alias("mask"))).alias("m"))
-    assert [r[0] for r in spans.orderBy("col").select(redact.lay_over(F.col("cell_text"), F.col("m"))).collect()] == ["Hel*o", "W*rld"]
+    cells = spark.createDataFrame([("s", 1, 1, "Kod"), ("s", 1, 2, None), ("s", 1, 3, "Tutar"), ("s", 2, 1, ""), ("s", 5, 2, "Toplam")], "page string, row int, col int, cell_text string")
+    text = layout.page_text(cells, ["page"], "row", "col").first().text
+    assert text == "Kod | Tutar\nToplam"
+    assert all(text[r.start : r.end] == r.cell_text for r in layout.line_offsets(cells, ["page"], "row", "col").collect())
+    two = layout.line_offsets(spark.createDataFrame([("s", 1, 1, "Merhaba"), ("s", 1, 2, "dost")], "page string, row int, col int, cell_text string"), ["page"], "row", "col")
+    f = spark.createDataFrame([("s", "PERSON", "haba | dos", 3, 13)], "page string, type string, value string, start int, end int")
+    located = layout.part_masks(layout.locate(redact.masked(f), two, ["page"], "cell_text"))
+    new = layout.cell_masks(located, ["page", "row", "col"]).orderBy("col").collect()
+    assert [(r.new_text, r.matches) for r in new] == [("Merh**a", 1), ("d*st", 1)]
 
 
 def test_whole_cells(spark, tmp_path):
@@ -88,38 +102,140 @@ def test_regions(spark):
 
 
 def test_entities(spark):
-    pages = spark.createDataFrame([(1, "Ayşe Yılmaz İstanbul")], "page int, text string")
-    model = lambda: lambda text: [{"entity_group": "PER", "score": 0.98, "start": 0, "end": 4}, {"entity_group": "PER", "score": 0.67, "start": 5, "end": 11}, {"entity_group": "LOC", "score": 0.99, "start": 12, "end": 20}]
-    got = ner.merge(ner.predict(pages, ["page"], model), pages, ["page"]).orderBy("start").collect()
-    assert [(r.type, r.value, r.confidence) for r in got] == [("PERSON", "Ayşe Yılmaz", 0.67), ("LOCATION", "İstanbul", 0.99)]
+    pages = spark.createDataFrame([(1, "Deniz  Kaya Bursa Deniz")], "page int, text string")
+    model = lambda: lambda text: [dict(zip(("entity_group", "score", "start", "end"), x)) for x in (("PER", 0.9, 0, 5), ("PER", 0.8, 7, 11), ("LOC", 0.95, 12, 17), ("PER", 0.7, 18, 23))]
+    got = ner.merge(ner.predict(pages, ["page"], model), pages, ["page"])
+    assert [(r.type, r.value, r.confidence) for r in got.orderBy("start").collect()] == [("PERSON", "Deniz  Kaya", 0.8), ("LOCATION", "Bursa", 0.95), ("PERSON", "Deniz", 0.7)]
+    rules = detect.detect(pages, ["page"])
+    assert policy.union_findings(rules, got).count() == 3 and policy.union_findings(rules, got, include_model=False).count() == 0
+
+
+def test_analyze(spark):
+    rows = [(7, 2, f"card {CARD} mail x@y.example"), (7, 1, "mail z@y.example"), (7, 3, None), (8, 1, "clean")]
+    got = {r.doc_id: r for r in analyze.analyze(spark.createDataFrame(rows, "doc_id int, page_number int, text string")).collect()}
+    assert (got[7].status, got[7].page_count, got[7].finding_count) == ("analyzed", 3, 3) and (got[8].page_count, got[8].finding_count, got[8].findings) == (1, 0, [])
+    assert [(f.page_number, f.type, f.finding_id.split(":")[0], f.redaction_action) for f in got[7].findings] == [(1, "EMAIL", "1", "AUTO_REDACT"), (2, "CARD_NUMBER", "2", "AUTO_REDACT"), (2, "EMAIL", "2", "AUTO_REDACT")]
+
+
+def test_redaction_plan(spark):
+    found = spark.createDataFrame([(1, 1, 0, "PERSON", "Deniz Kaya"), (1, 9, 1, "PERSON", "Er"), (1, 0, 2, "PERSON", "Er")], "doc int, page int, f int, type string, value string")
+    boxes = spark.createDataFrame([(1, 1, 0, 0.0, 30.0, 0, 6), (1, 1, 0, 40.0, 41.5, 6, 10), (1, 1, 0, 50.0, 90.0, 6, 99), (1, 9, 1, 0.0, 9.0, 0, 2), (1, 0, 2, 0.0, 9.0, 0, 2)], "doc int, page int, f int, x0 double, x1 double, box_start int, box_end int").withColumns({"y0": F.lit(0.0), "y1": F.lit(10.0)})
+    counts = spark.createDataFrame([(1, 3)], "doc int, page_count int")
+    got = regions.redaction_plan(boxes, found, counts, "doc", "page", ["f"]).orderBy("x0").collect()
+    assert [(r.segment, r.drawn, r.text_x0, r.text_x1) for r in got] == [("D***z ", True, 1.0, 29.0), ("K**a", False, 41.0, 40.5), ("*" * 10, True, 51.0, 89.0)]
+
+
+def test_ocr_text(spark):
+    rows = [(1, 0, 0, 0, "Fatura"), (1, 0, 0, 1, " no"), (1, 0, 1, 0, ""), (1, 0, 2, 0, "42"), (1, 1, 2, 0, "son"), (2, 0, 0, 0, "")]
+    spans = spark.createDataFrame(rows, "page int, block int, line int, span_ord int, text string")
+    assert [tuple(r) for r in regions.ocr_text(spans, ["page"]).collect()] == [(1, "Fatura no\n42\nson\n")]
+    laid = regions.ocr_layout(spans, ["page"]).orderBy("start").collect()
+    assert all("Fatura no\n42\nson\n"[r.start : r.end] == r.text for r in laid) and len(laid) == 4
 
 
 def test_evaluation(spark):
-    gold = spark.createDataFrame([(1, "PERSON", "Ali  Can."), (1, "LOCATION", "Ankara")], "sample_id int, type string, value string")
-    made = spark.createDataFrame([(1, "PERSON", " Ali Can", 0.8, 0), (1, "PERSON", "Veli", 0.45, 1)], "sample_id int, type string, value string, confidence double, ord int")
+    gold = spark.createDataFrame([(1, "PERSON", "Ece  Tan."), (1, "LOCATION", "Rize")], "sample_id int, type string, value string")
+    made = spark.createDataFrame([(1, "PERSON", " Ece Tan", 0.8, 0), (1, "PERSON", "Naz", 0.45, 1)], "sample_id int, type string, value string, confidence double, ord int")
     c = evaluate.compare(gold, made)
     rows = {r.threshold: (r.tp, r.fp, r.fn) for r in evaluate.sweep(c).collect()}
     assert rows[0.0] == (1, 1, 1) and rows[0.5] == (1, 0, 1) and rows[0.9] == (0, 0, 2)
     assert evaluate.best(evaluate.sweep(c)).first().threshold == 0.8
-    assert sorted((r.value, r.error) for r in evaluate.errors(c, made, 0.4).collect()) == [("Ankara", "FN"), ("Veli", "FP")]
+    assert sorted((r.value, r.error) for r in evaluate.errors(c, made, 0.4).collect()) == [("Naz", "FP"), ("Rize", "FN")]
 
 
 def test_files(spark):
-    doc = office.make_docx([["E-mail: test@ex", "ample.com"], [], [[[["Ad"]], [[""]], [["a"], ["b"]]]], ["son"]])
-    book = office.make_xlsx({"S1": [["Ad", None, "Soyad"], [42, 3.14, True]], "S2": [[("A1", "Ayşe Yılmaz"), ("B1", None)]]})
-    files = spark.createDataFrame([("d", doc), ("bad", b"PK")], "doc_id string, content binary")
+    doc = office.make_docx([["Posta: deniz@po", "sta.example.org"], [], [[[["Kod"]], [[""]], [["x"], ["y"]]]], ["bitti"]])
+    book = office.make_xlsx({"S1": [["Kod", None, "Tutar"], [7, 2.5, False, dt.datetime(2021, 3, 4, 5, 6, 7)]], "S2": [[("B1", "Deniz Kaya"), ("A1", None)]], "S3": []})
+    files = spark.createDataFrame([("d", doc), ("empty", office.make_docx([])), ("bad", b"PK"), ("other", book)], "doc_id string, content binary")
     runs = office.docx_layout(office.parse_docx(files))
-    text = "E-mail: test@example.com\nAd | a\nb\nson"
-    assert [(r.text, text[r.start : r.end]) for r in runs.orderBy("start").collect()] == [(x, x) for x in ("E-mail: test@ex", "ample.com", "Ad", "a", "b", "son")]
-    assert [r.doc_id for r in office.errors(files, runs).collect()] == ["bad"]
+    text = "Posta: deniz@posta.example.org\nKod | x\ny\nbitti"
+    assert [(r.text, text[r.start : r.end]) for r in runs.orderBy("start").collect()] == [(x, x) for x in ("Posta: deniz@po", "sta.example.org", "Kod", "x", "y", "bitti")]
+    assert {r.doc_id: r.text for r in office.docx_text(office.parse_docx(files), files).collect()} == {"d": text, "empty": ""}
+    assert sorted((r.doc_id, r.http_code) for r in office.errors(files, "docx").collect()) == [("bad", 422), ("other", 422)]
     books = spark.createDataFrame([("b", book)], "doc_id string, content binary")
     cells = office.parse_xlsx(books)
-    assert sorted((r.sheet_name, r.coordinate, r.cell_text) for r in cells.collect()) == [("S1", "A1", "Ad"), ("S1", "A2", "42"), ("S1", "B2", "3.14"), ("S1", "C1", "Soyad"), ("S1", "C2", "True"), ("S2", "A1", "Ayşe Yılmaz"), ("S2", "B1", "")]
-    new = office.redact_files(books, cells.where("coordinate = 'A1' and sheet_name = 'S2'").withColumn("new_text", F.lit("A**e Y****z")), "xlsx")
+    assert sorted((r.sheet_name, r.coordinate, r.cell_text) for r in cells.collect()) == [("S1", "A1", "Kod"), ("S1", "A2", "7"), ("S1", "B2", "2.5"), ("S1", "C1", "Tutar"), ("S1", "C2", "False"), ("S1", "D2", "2021-03-04 05:06:07"), ("S2", "A1", "Deniz Kaya"), ("S2", "B1", "")]
+    new = office.redact_files(books, cells.where("coordinate = 'A1' and sheet_name = 'S2'").withColumn("new_text", F.lit("D***z <&> K**a")), "xlsx")
     again = office.parse_xlsx(new).where("sheet_name = 'S2' and coordinate = 'A1'").first()
-    assert again.cell_text == "A**e Y****z" and not again.is_formula
-    changed = office.redact_files(files.where("doc_id = 'd'"), office.parse_docx(files).where("text = 'son'").withColumn("new_text", F.lit("s*n")), "docx")
-    assert [r.text for r in office.parse_docx(changed).where("paragraph_index = 2").collect()] == ["s*n"]
+    assert again.cell_text == "D***z <&> K**a" and not again.is_formula and office.parse_xlsx(new).where("is_formula").count() == 1
+    changed = office.redact_files(files.where("doc_id = 'd'"), office.parse_docx(files).where("text = 'bitti'").withColumn("new_text", F.lit("b\t**\ni")), "docx")
+    assert [r.text for r in office.parse_docx(changed).where("paragraph_index = 2").collect()] == ["b\t**\ni"]
+    parsed = {r.doc_id: r for r in api.extract_text(files.where("doc_id in ('d', 'empty')"), "docx").collect()}
+    assert parsed["d"].pages[0].text == text and parsed["empty"].page_count == 1
+    sheets = api.extract_text(books, "xlsx").first()
+    assert sheets.page_count == 3 and [p.text for p in sheets.pages] == ["Kod | Tutar\n7 | 2.5 | False | 2021-03-04 05:06:07", "Deniz Kaya", ""]
+
+
+def _archive(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, raw in parts.items():
+            z.writestr(name, raw)
+    return out.getvalue()
+
+
+def test_every_other_byte_of_a_file_stays():
+    w = office.W[1:-1]
+    head = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n<w:document xmlns:w="{w}" xmlns:mc="urn:mc" xmlns:w14="urn:w14" mc:Ignorable="w14"><!-- > kept --><w:body>'
+    run = lambda inner: f'<w:p w14:id="a>b"><w:r><w:rPr><w:b/></w:rPr>{inner}</w:r></w:p>'
+    tail = "</w:body></w:document>"
+    old = head + run("<w:t>bir</w:t>") + run("<w:t>iki</w:t><w:tab/><w:t xml:space='preserve'> üç</w:t>") + tail
+    new = office.write_docx(_archive({"word/document.xml": old, "x.bin": b"raw"}), {("paragraph", 1, 1, None, None, None, None, 0): "*&*"})
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        assert z.read("word/document.xml").decode() == head + run("<w:t>bir</w:t>") + run('<w:t xml:space="preserve">*&amp;*</w:t>') + tail and z.read("x.bin") == b"raw"
+
+
+def test_a_formula_goes_with_its_place_in_the_order_of_calculation():
+    s, r = office.S[1:-1], office.R[1:-1]
+    parts = {
+        "[Content_Types].xml": '<Types><Override PartName="/xl/calcChain.xml" ContentType="c"/><Override PartName="/xl/workbook.xml" ContentType="w"/></Types>',
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><workbookPr date1904="1"/><sheets><sheet name="T" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/><Relationship Id="r2" Target="calcChain.xml"/></Relationships>',
+        "xl/calcChain.xml": "<calcChain/>",
+        "xl/styles.xml": f'<styleSheet xmlns="{s}"><numFmts><numFmt numFmtId="170" formatCode="[h]:mm"/><numFmt numFmtId="171" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="20"/></cellXfs></styleSheet>',
+        "xl/worksheets/s.xml": f'<x:worksheet xmlns:x="{s}"><x:sheetData><x:row r="1"><x:c r="A1" s="1" t="n"><x:f>1+1</x:f><x:v>2</x:v></x:c><x:c r="B1" s="2"><x:v>1.5</x:v></x:c><x:c r="C1" s="3"><x:v>2.5</x:v></x:c><x:c r="D1" s="4"><x:v>0.25</x:v></x:c></x:row></x:sheetData></x:worksheet>',
+    }
+    raw = _archive(parts)
+    assert [(c[4], c[5], c[6]) for c in office.xlsx_cells(raw)] == [("A1", "1904-01-03 00:00:00", True), ("B1", "1 day, 12:00:00", False), ("C1", "2.5", False), ("D1", "06:00:00", False)]
+    new = office.write_xlsx(raw, {("T", "A1"): "**"})
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        assert "xl/calcChain.xml" not in z.namelist() and "calcChain" not in z.read("[Content_Types].xml").decode() + z.read("xl/_rels/workbook.xml.rels").decode()
+        assert '<x:c r="A1" s="1" t="inlineStr"><x:is><x:t xml:space="preserve">**</x:t></x:is></x:c><x:c r="B1" s="2">' in z.read("xl/worksheets/s.xml").decode()
+    assert [(c[4], c[5], c[6]) for c in office.xlsx_cells(new)][0] == ("A1", "**", False)
+
+
+def test_files_are_redacted_end_to_end(spark):
+    doc = office.make_docx([["Posta: deniz@po", "sta.example.org", " ok"], [[[["Kart"]], [[CARD]]]]])
+    book = office.make_xlsx({"S": [["a", ("LOWER(A1)", "deniz@posta.example.org")], [CARD, ("1+1", 2)]]})
+    docs = spark.createDataFrame([("1", doc), ("2", office.make_docx([["clean"]]))], "doc_id string, content binary")
+    got = {r.doc_id: [x.text for x in r.pages] for r in api.extract_text(api.redacted(docs, "docx"), "docx").collect()}
+    assert got == {"1": ["Posta: d***z@p***a.e*****e.org ok\nKart | 5*** **** **** ***4"], "2": ["clean"]}
+    books = spark.createDataFrame([("1", book)], "doc_id string, content binary")
+    done = api.redacted(books, "xlsx")
+    assert api.extract_text(done, "xlsx").first().pages[0].text == "a | d***z@p***a.e*****e.org\n5*** **** **** ***4 | 2"
+    assert [(r.coordinate, r.formula) for r in office.parse_xlsx(done).where("is_formula").collect()] == [("B2", "=1+1")]
+    assert api.analyze(books, "xlsx").first().finding_count == 2
+
+
+def test_gold_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text": "Deniz Bursa\'da", "entities": [{"type": "PERSON", "value": "Deniz"}, {"type": "LOCATION", "value": "Bursa"}]},\n {"text": "yok", "entities": []}]')
+    got = sorted((r.sample, r.text, r.type, r.value) for r in evaluate.read_gold(spark, str(tmp_path)).where("type is not null").collect())
+    assert got == [(0, "Deniz Bursa'da", "LOCATION", "Bursa"), (0, "Deniz Bursa'da", "PERSON", "Deniz")]
+    assert evaluate.read_gold(spark, str(tmp_path)).where("type is null").first().text == "yok"
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "one.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "two.docx").write_bytes(office.make_docx([["x"]]))
+    assert {r.filename: r.size_bytes for r in ingest.read_files(spark, str(tmp_path)).collect()}["one.pdf"] == 8
+    stream = ingest.stream_files(spark, str(tmp_path))
+    stream.drop("content").writeStream.format("parquet").option("path", f"{tmp_path}/.out").option("checkpointLocation", f"{tmp_path}/.state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.filename for r in spark.read.parquet(f"{tmp_path}/.out").collect()) == ["one.pdf", "two.docx"]
+    chunks = spark.createDataFrame([("a", 0, 6), ("a", 1, 4), ("b", 0, 6), ("b", 1, 5), ("b", 2, 9)], "upload string, chunk int, n_bytes int")
+    got = {r.upload: (r.bytes_read, r.chunks_read, r.accepted) for r in ingest.account(chunks, limit=10).collect()}
+    assert got == {"a": (10, 2, True), "b": (11, 2, False)}
+    judged = api.ingested(ingest.read_files(spark, str(tmp_path)).withColumn("content_type", F.lit("application/pdf")))
+    assert {r.filename: r.ingest_status for r in judged.collect()} == {"one.pdf": "uploaded", "two.docx": "uploaded"} and ingest.receipts(judged).count() == 2
 
 
 def test_gate(spark):
@@ -148,6 +264,20 @@ def test_retention(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["edge", "kept", "old"]
 
 
+def test_downloads_close_documents(spark, tmp_path):
+    t0 = dt.datetime(2026, 5, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = [("down", at(0), False), ("down", at(10), True), ("old", at(0), False), ("fresh", at(9000), False)]
+    touches = spark.createDataFrame(rows, "doc_id string, ts timestamp, closes boolean")
+    for part in (touches, touches.where("doc_id = 'fresh'").withColumn("ts", F.col("ts") + F.expr("interval 1 minute"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(touches.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    retention.run_sweeps(retention.close_stream(stream), f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+    assert sorted((r.doc_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("down", "downloaded"), ("old", "expired")]
+    names = spark.createDataFrame([("0f8fad5b-d9cb-469f-a165-70867728950e", t0), ("notes", t0)], "doc_id string, ts timestamp")
+    assert retention.deleted_count(retention.sweep(names, F.lit(at(3600)))).first().deleted_count == 1
+
+
 def test_contract():
     import __spark_entry__ as e
 
