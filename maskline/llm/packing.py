@@ -19,8 +19,9 @@ SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(c, T.LongType(), False) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
-#: Full sequences of filler that a worker holds before it writes them out.
-POOL = 32
+#: Full sequences of filler, and bins that wait for some, that a worker holds; classes from this one on are filler
+#: where bins wait.
+POOL, LAST = 32, 16
 
 
 class Packer:
@@ -28,9 +29,10 @@ class Packer:
 
     Class k holds documents of more than capacity/(k+1) and at most capacity/k ids; a bin closes with
     k of them, whatever they are, so classes never wait for each other. What a closed bin lacks is
-    filled from the filler: the parts of documents over the capacity, and documents that arrive while
-    closed bins wait. No id of a class's documents is cut until the end of the worker's input, where
-    what is left is laid end to end; the last sequence is cut at powers of two, which need no padding.
+    filled from the filler: the parts of documents over the capacity, the documents of the last classes that
+    arrive while closed bins wait, and any document where POOL of them do. No id of a class's documents
+    is cut until the end of the worker's input, where what is left is laid end to end; the last sequence
+    is cut at powers of two, which need no padding.
     """
 
     def __init__(self, capacity: int, base: int):
@@ -73,10 +75,10 @@ class Packer:
 
     def add(self, key, ids: np.ndarray) -> None:
         n = len(ids)
-        if n > self.capacity or self.waiting:
+        k = self.capacity // n
+        if not k or self.waiting and (k >= LAST or len(self.waiting) > POOL):
             self._pour((key, ids, n, 0, n))
             return
-        k = self.capacity // n
         group = self.bins.setdefault(k, [])
         group.append((key, ids, n, 0, n))
         if len(group) == k:
