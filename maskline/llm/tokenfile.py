@@ -16,6 +16,7 @@ id without reading others.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from maskline.llm.tokens import encoder
 from maskline.llm.words import slices, text_buffer
 
 MAGIC, BLOCK, PERCENTILE = b"PFOR0001", 1024, 90
+#: Bytes of text and documents of a file, on average.
+FILE_BYTES, FILE_ROWS = 64 << 20, 1 << 20
 _HEAD = np.dtype([("low", "<u4"), ("count", "<u2"), ("width", "u1"), ("zero", "u1"), ("odd", "<u2")])
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4")])
 _FOOT = struct.Struct("<QQQQ8s")
@@ -153,17 +156,23 @@ class Reader:
             i = j
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """(store, path in it) of a folder: local, HDFS (hdfs, viewfs), S3 (s3, s3a), Azure (abfs) or Google (gs)."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
     """Writes all documents' ids in ascending doc_id order; returns the manifest (part, path, docs, ids).
 
-    docs needs doc_id and text. Rows are dealt by ranges of doc_id, each range is one file; ties go by
-    the text. A null text is an empty one, a null doc_id comes first. A worker writes under a name of
-    its own attempt and renames the file when it is whole, so one done again replaces it alike.
+    docs needs doc_id and text. Rows are dealt by ranges of doc_id into files of about FILE_BYTES of text;
+    rows of one doc_id go by a hash of the text, so many of them are as many files. A null text is an empty
+    one, a null doc_id comes first. A worker writes under a name of its own attempt and renames the file
+    when it is whole, so one done again replaces it alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         encode, part = encoder(vocabulary).encode, context.partitionId()
         path = f"{root}/part-{part:06d}.pfor"
@@ -179,9 +188,10 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> Dat
         store.move(half, path)
         yield pa.RecordBatch.from_pydict({"part": [part], "name": [path.rpartition("/")[2]], "docs": [n], "ids": [total]})
 
-    spark = docs.sparkSession
-    few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select("doc_id", "text").repartitionByRange(few, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+    few = 1 + max((size["bytes"] or 0) // FILE_BYTES, size["rows"] // FILE_ROWS)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(few, *order[:2]).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(run, "part long, name string, docs long, ids long"))
 
 
@@ -197,7 +207,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     names = spark.createDataFrame(files or [("", 0)], "name string, first long").where("name <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 path = f"{root}/{name}"
