@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskline.llm.common import bounded_sample, written
+from maskline.llm.common import bounded_sample, discard, written
 from maskline.llm.vectors import matrix, sizes, usable
 
 #: Rows that the lists are fitted on at most, of them those that give each query its first bound; lists; rows
@@ -204,11 +204,11 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
     asked = written(held.where("q").select("r", "vec_id", "v").mapInArrow(probe, "r long, vec_id long, v array<double>, lists array<int>, least double, first_r array<long>, first_id array<long>, first_score array<double>"))
     size = held.groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"))
     busy = asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("turns"))
-    cells = F.broadcast(written(size.join(busy, "list")))  # a row for each list
+    cells = written(size.join(busy, "list"))  # a row for each list, at most MOST_LISTS
     some = F.abs(F.xxhash64("r", F.lit(17)) % 1_000_003)
     none = F.lit(None).cast("double").alias("least")
-    left = held.join(cells, "list").select("list", (some % F.col("cuts")).alias("cut"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "r", "vec_id", "v", none)
-    right = asked.select("r", "vec_id", "v", "least", F.explode("lists").alias("list")).join(cells, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)).alias("cut"), (some % F.col("turns")).alias("turn"), "r", "vec_id", "v", "least")
+    left = held.join(F.broadcast(cells), "list").select("list", (some % F.col("cuts")).alias("cut"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)).alias("turn"), "r", "vec_id", "v", none)
+    right = asked.select("r", "vec_id", "v", "least", F.explode("lists").alias("list")).join(F.broadcast(cells), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)).alias("cut"), (some % F.col("turns")).alias("turn"), "r", "vec_id", "v", "least")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -224,4 +224,7 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
     firsts = firsts.select("qr", "query_id", F.col("f.first_r").alias("r"), F.col("f.first_id").alias("vec_id"), F.col("f.first_score").alias("score"))
     best = Window.partitionBy("qr").orderBy(F.col("score").desc(), "vec_id", "r")
     both = met.unionByName(firsts).groupBy("qr", "query_id", "r", "vec_id").agg(F.max("score").alias("score"))
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(rows, held, asked, cells)
+    shared.destroy()
+    return out
