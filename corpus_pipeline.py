@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskline.llm import stages
-from maskline.llm.common import table, written
+from maskline.llm.common import discard, table, written
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -14,13 +14,16 @@ STAGES = [
     ("packing", stages.pack),
 ]
 
-#: No stage's model or hash can be expressed in SQL; tests hold the result against brute force.
+#: No stage's model or hash can be expressed in SQL; a test holds the result against the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir))
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
