@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from maskline.operators.redact import joined, laid
 
 CELL_GAP, LINE_GAP = " | ", "\n"
+#: Characters of a stretch of a page in which findings meet parts.
+STRETCH = 1024
 
 
 def prefix_offsets(parts: DataFrame, within: Sequence[str], order: Sequence[str], text: str, gap: int = 0) -> DataFrame:
@@ -43,19 +45,28 @@ def page_text(cells: DataFrame, page: Sequence[str], row: str, column: str, text
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), "line"))), lambda x: x["line"]), line_gap).alias("text"))
 
 
-def overlaps(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
-    """Half-open intervals that share a character."""
-    return F.greatest(start, other_start) < F.least(end, other_end)
+def meeting(x: DataFrame, y: DataFrame, keys: Sequence[str], x_at: tuple[str, str], y_at: tuple[str, str], width: int = STRETCH) -> DataFrame:
+    """Pairs of rows of x and y of equal keys whose intervals (start, end) share a character, each pair once.
+
+    Rows meet by stretches of width characters, so a page of any length is many small groups: each row is
+    dealt to the stretches that it touches, and a pair counts in the first that it shares.
+    """
+    def dealt(d: DataFrame, at: tuple[str, str]) -> DataFrame:
+        first, last = F.floor(F.col(at[0]) / width), F.floor((F.col(at[1]) - 1) / width)
+        return d.where(F.col(at[1]) > F.col(at[0])).withColumn("_stretch", F.explode(F.sequence(first, last)))
+
+    pairs = dealt(x, x_at).join(dealt(y, y_at), [*keys, "_stretch"])
+    begin = F.greatest(x_at[0], y_at[0])
+    return pairs.where((begin < F.least(x_at[1], y_at[1])) & (F.floor(begin / width) == F.col("_stretch"))).drop("_stretch")
 
 
 def locate(findings: DataFrame, parts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Every part that a finding meets, with match_start, match_end and matched_text inside the part.
 
-    An equi-join on the page, with the overlap as its residual condition.
+    An equi-join on stretches of the page, with the overlap as its residual condition.
     """
     f = findings.withColumnRenamed("start", "finding_start").withColumnRenamed("end", "finding_end")
-    meets = overlaps(F.col("finding_start"), F.col("finding_end"), F.col("start"), F.col("end"))
-    hit = f.join(parts, list(keys)).where(meets)
+    hit = meeting(f, parts, keys, ("finding_start", "finding_end"), ("start", "end"))
     hit = hit.withColumn("match_start", F.greatest("finding_start", "start") - F.col("start")).withColumn("match_end", F.least("finding_end", "end") - F.col("start"))
     return hit.withColumn("matched_text", F.substring(F.col(text), F.col("match_start") + 1, F.col("match_end") - F.col("match_start")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskline.functions.masks import drawable, mask_value, segment
 from maskline.functions.text import SPACE, folded, is_blank, strip
-from maskline.operators.layout import overlaps
+from maskline.operators.layout import meeting
 
 # An image's least share of its page, the words' least cover of it, and the overlap of duplicates.
 IMAGE_SHARE, WORD_COVER, SAME_BOX, OCR_FONT, SEPARATOR = 0.20, 0.05, 0.80, "GlyphLessFont", "\n|\n"
@@ -59,7 +59,7 @@ def region_boxes(findings: DataFrame, regions: DataFrame, keys: Sequence[str], f
     region_ord, start, end and bbox.
     """
     f = findings.withColumnRenamed("start", "fs").withColumnRenamed("end", "fe")
-    hit = f.join(regions.select(*keys, "region_ord", F.col("start").alias("rs"), F.col("end").alias("re"), "bbox"), list(keys)).where(overlaps(F.col("fs"), F.col("fe"), F.col("rs"), F.col("re")))
+    hit = meeting(f, regions.select(*keys, "region_ord", F.col("start").alias("rs"), F.col("end").alias("re"), "bbox"), keys, ("fs", "fe"), ("rs", "re"))
     one = [*keys, *finding]
     order = Window.partitionBy(*one).orderBy("a", "region_ord")
     pieces = hit.withColumn("a", F.greatest("rs", "fs")).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("a").over(order))

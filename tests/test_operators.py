@@ -81,6 +81,14 @@ def test_rows_and_cells(spark):
     assert [(r.new_text, r.matches) for r in new] == [("Merh**a", 1), ("d*st", 1)]
 
 
+def test_long_findings_meet_each_part_once(spark):
+    parts = spark.createDataFrame([(1, i, i * 700, i * 700 + 699) for i in range(30)] + [(1, 99, 5, 5), (2, 0, 0, 50)], "page int, part int, start int, end int")
+    found = spark.createDataFrame([(1, 0, 650, 15_000), (1, 1, 1023, 1025), (1, 2, 699, 700), (1, 3, 5, 5), (2, 4, 49, 9000)], "page int, f int, start int, end int")
+    got = layout.locate(found, parts.withColumn("text", F.repeat(F.lit("x"), 699)), ["page"]).collect()
+    want = sorted((f, p) for pg, f, a, b in [tuple(r) for r in found.collect()] for q, p, c, d in [tuple(r) for r in parts.collect()] if pg == q and max(a, c) < min(b, d))
+    assert sorted((r.f, r.part) for r in got) == want and len(want) > 20
+
+
 def test_whole_cells(spark, tmp_path):
     from maskline.plans import catalogue
 
