@@ -83,6 +83,20 @@ def _number(letters: str) -> int:
     return n
 
 
+def _letters(n: int) -> str:
+    return _letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n > 0 else ""
+
+
+def _moved(formula: str, rows: int, columns: int) -> str:
+    """A formula as it reads so many rows and columns further on; quoted names and texts stay."""
+    def to(m: re.Match) -> str:
+        fixed_column, letters, fixed_row, row = m.groups()
+        return f"{fixed_column}{letters if fixed_column else _letters(_number(letters) + columns)}{fixed_row}{row if fixed_row else int(row) + rows}"
+
+    parts = re.split(r"(\"[^\"]*\"|'[^']*')", formula)
+    return "".join(x if i % 2 else re.sub(r"(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(.])", to, x) for i, x in enumerate(parts))
+
+
 def _time_kind(code: str) -> str:
     """'span' for a format of elapsed time, 'date' for one of dates or times of day, else ''."""
     first = code.split(";")[0]
@@ -151,11 +165,18 @@ def xlsx_cells(raw: bytes) -> list[tuple]:
         epoch = EPOCH_1904 if old is not None and old.get("date1904") in ("1", "true") else EPOCH
         rows = []
         for n, (name, path) in enumerate(_sheets(z), 1):
+            shared: dict[str, tuple[str, int, int]] = {}
             for c in ET.fromstring(z.read(path)).iter(f"{S}c"):
                 at, f, text = c.get("r"), c.find(f"{S}f"), _value(c, strings, formats, epoch)
                 letters, row = re.fullmatch(r"([A-Z]+)(\d+)", at).groups()
+                row, column, formula = int(row), _number(letters), None
+                if f is not None:
+                    formula = f.text or ""
+                    if f.get("t") == "shared":  # the first cell of a range has the formula, the others its number
+                        first = shared.setdefault(f.get("si"), (formula, row, column))
+                        formula = formula or _moved(first[0], row - first[1], column - first[2])
                 if text or f is not None:
-                    rows.append((n, name, int(row), _number(letters), at, text, f is not None, None if f is None else "=" + (f.text or "")))
+                    rows.append((n, name, row, column, at, text, f is not None, None if f is None else "=" + formula))
     return rows
 
 
@@ -425,9 +446,6 @@ def make_docx(blocks: list) -> bytes:
 
 def make_xlsx(sheets: dict[str, list[list]]) -> bytes:
     """A minimal file of sheets of rows; a cell is None, a string, a number, a bool, a date with its time or (formula, cached text)."""
-    def letters(n: int) -> str:
-        return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
-
     book, links = ET.Element(f"{S}workbook"), ET.Element("Relationships")
     names, out = ET.SubElement(book, f"{S}sheets"), BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -443,7 +461,7 @@ def make_xlsx(sheets: dict[str, list[list]]) -> bytes:
                 for j, v in enumerate(row, 1):
                     if v is None:
                         continue
-                    c = ET.SubElement(r, f"{S}c", {"r": f"{letters(j)}{i}"})
+                    c = ET.SubElement(r, f"{S}c", {"r": f"{_letters(j)}{i}"})
                     if isinstance(v, tuple):
                         ET.SubElement(c, f"{S}f").text, v = v
                         if v is None:

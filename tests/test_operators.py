@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskline import api
 from maskline.operators import analyze, detect, evaluate, layout, ner, policy, redact, regions
-from maskline.sources import ingest, office
+from maskline.sources import ingest, office, pdf
 from maskline.streaming import retention
 
 
@@ -212,6 +212,42 @@ def test_a_formula_goes_with_its_place_in_the_order_of_calculation():
     assert [(c[4], c[5], c[6]) for c in office.xlsx_cells(new)][0] == ("A1", "**", False)
 
 
+def test_shared_formulas():
+    assert office._moved("SUM(A1:$B2)+C$3&\"A1\"&'A1'!D4+LOG10(AA9)", 2, 1) == "SUM(B3:$B4)+D$3&\"A1\"&'A1'!E6+LOG10(AB11)"
+    s, r = office.S[1:-1], office.R[1:-1]
+    cell = lambda at, f: f'<c r="{at}"><f t="shared" si="0"{f}<v>1</v></c>'
+    raw = _archive({
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="T" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+        "xl/worksheets/s.xml": f'<worksheet xmlns="{s}"><sheetData><row r="1">{cell("C1", ">A1*$B$1</f>")}</row><row r="2">{cell("C2", "/>")}{cell("D2", "/>")}</row></sheetData></worksheet>',
+    })
+    assert [c[7] for c in office.xlsx_cells(raw)] == ["=A1*$B$1", "=A2*$B$1", "=B2*$B$1"]
+
+
+def test_pdf_pages_of_any_parser(spark):
+    import json
+
+    def load():
+        def read(raw):
+            return json.loads(raw)
+
+        return read
+
+    box = {"x0": 0.0, "y0": 0.0, "x1": 100.0, "y1": 100.0}
+    span = lambda line, font, text, x=0.0: {"block": 0, "line": line, "font": font, "chars": list(text), "x0": x, "y0": 0.0, "x1": x + 10, "y1": 10.0}
+    scan = "GlyphLessFont"
+    doc = [
+        {"text": "Yerli metin", "rect": box},
+        {"text": " ", "rect": box, "spans": [span(0, scan, "Taranan"), span(0, scan, " satir", 20.0), span(1, scan, ""), span(2, scan, "son")]},
+        {"text": "Baslik", "rect": box, "images": [box], "spans": [span(0, "Serif", "Baslik"), span(1, scan, "baslik"), span(2, scan, "x@y.example", 50.0)]},
+    ]
+    files = spark.createDataFrame([("1", bytearray(json.dumps(doc).encode())), ("2", bytearray(b"?"))], "doc_id string, content binary")
+    parsed = pdf.parse(files, load)
+    got = [(r.page_number, r.text_source, r.text) for r in pdf.page_texts(pdf.readable(parsed)).orderBy("page_number").collect()]
+    assert got == [(1, "native", "Yerli metin"), (2, "ocr", "Taranan satir\nson\n"), (3, "hybrid", "Baslik\n|\nx@y.example")]
+    assert [(r.doc_id, r.http_code) for r in pdf.errors(parsed).collect()] == [("2", 422)]
+
+
 def test_files_are_redacted_end_to_end(spark):
     doc = office.make_docx([["Posta: deniz@po", "sta.example.org", " ok"], [[[["Kart"]], [[CARD]]]]])
     book = office.make_xlsx({"S": [["a", ("LOWER(A1)", "deniz@posta.example.org")], [CARD, ("1+1", 2)]]})
