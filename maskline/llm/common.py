@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Levels of the geometric sampler; a row is on level k with probability 2**-(k+1).
 LEVELS = 48
-#: Links that a task contracts at a time.
-ROOM = 1 << 20
+#: Links that a task contracts at a time, and that one of a later round has on average.
+ROOM, ROWS = 1 << 20, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,22 +150,24 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     partitions can be split.
     """
     e = written(_contracted(edges).distinct())
+    parts = 1 + e.count() // ROWS
+    few = lambda df: df.coalesce(parts)  # noqa: E731  tasks by the number of links, not of shuffle partitions
     for _ in range(max_rounds):
         node = e.select("u", F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("above"), F.lit(1).alias("below")))
-        if node.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or above = 1 and below = 1").isEmpty():
+        if few(node.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or above = 1 and below = 1")).isEmpty():
             break  # stars: each node but the roots has one link, to a root
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        low = written(few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         made = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        made = written(made.where("u > v").distinct())
+        made = written(few(made.where("u > v").distinct()))
         _remove(low, e)
         e = made
     else:
         raise RuntimeError(f"links are not settled after {max_rounds} rounds")
     roots = e.select("v").distinct()
-    found = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))))
+    found = written(few(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))))
     _remove(e)
     return found
 

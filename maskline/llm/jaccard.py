@@ -151,11 +151,23 @@ def _sketch(scan: DataFrame, bits: int) -> np.ndarray:
 
 
 def _fragments(sketch: np.ndarray) -> np.ndarray:
-    """For each bucket its fragment: the order of buckets, cut where equal masses end."""
-    order = np.argsort(sketch, kind="stable")
-    mass = np.cumsum(sketch[order].astype(np.int64))
-    out = np.zeros(len(sketch), np.int8)
-    out[order] = np.minimum(FRAGMENTS - 1, mass * FRAGMENTS // max(int(mass[-1]), 1) if len(mass) else 0)
+    """For each bucket its fragment: the order of counts, cut where about equal masses end. Equal counts that cuts fall on are dealt over their fragments."""
+    step = 1 << 20
+    total, goal, cuts, mass = int(sketch.sum(dtype=np.int64)), 1, [], 0
+    ordered = np.sort(sketch)
+    for lo in range(0, len(ordered), step):
+        upto = mass + np.cumsum(ordered[lo : lo + step], dtype=np.int64)
+        while goal < FRAGMENTS and upto[-1] * FRAGMENTS >= goal * total and total:
+            cuts.append(ordered[lo + int(np.searchsorted(upto * FRAGMENTS, goal * total))])
+            goal += 1
+        mass = int(upto[-1])
+    del ordered
+    cuts = np.array(cuts, sketch.dtype)
+    out = np.empty(len(sketch), np.int8)
+    for lo in range(0, len(sketch), step):
+        part = sketch[lo : lo + step]
+        first, last = np.searchsorted(cuts, part, "left"), np.searchsorted(cuts, part, "right")
+        out[lo : lo + step] = first + np.arange(lo, lo + len(part)) % (last - first + 1)
     return out
 
 
@@ -169,10 +181,11 @@ def _fresh(c: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
-    """(c, n, tokens, salts): the first n-grams of each set in the global order; c is its fingerprint. A task gives each set once.
+def _postings(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
+    """(token, c, place, salts, salt): a row for each of the first n-grams of each set in the global order.
 
-    salts says over how many tasks the posting list of each is to be dealt, by its counter.
+    c is the set's fingerprint, place its size and the n-gram's rank in it; salts says over how many tasks the
+    n-gram's list is dealt, by its counter, and salt which of them is the row's. A task gives each set once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +203,15 @@ def _prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
                 for lo, n in zip(first[some].tolist(), sizes[some].tolist(), strict=True):
                     k = n - (percent * n + 99) // 100 + 1
                     at.append(lo + np.argsort(often[lo : lo + n], kind="stable")[:k])  # ties: by hash
-                ends = pa.array(np.cumsum([len(x) for x in at]), pa.int32())
+                count = np.array([len(x) for x in at[1:]], np.int64)
                 at = np.concatenate(at)
-                lists = pa.ListArray.from_arrays(ends, pa.array(_signed(h[at]), pa.int64()))
-                salts = pa.ListArray.from_arrays(ends, pa.array(1 + often[at] // hot, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c[some], pa.int64()), pa.array(sizes[some].astype(np.int32)), lists, salts], names=["c", "n", "tokens", "salts"])
+                owner = np.repeat(some, count)
+                rank = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                salts = 1 + often[at] // hot
+                salt = (mix(c[owner].view(np.uint64) ^ _ODD) % salts.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[at])), pa.array(c[owner]), pa.array((sizes[owner] << 32) | rank), pa.array(salts.astype(np.int32)), pa.array(salt)], names=["token", "c", "place", "salts", "salt"])
 
-    return docs.select("text").mapInArrow(run, "c long, n int, tokens array<long>, salts array<int>")
+    return docs.select("text").mapInArrow(run, "token long, c long, place long, salts int, salt int")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, words: int, shared) -> DataFrame:
@@ -426,17 +441,11 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shared = spark.sparkContext.broadcast((sketch, _fragments(sketch), bits))  # 5 bytes a counter
     classes = written(rows.where("n > 0").groupBy("c", "n", "h2").agg(F.min("th").alias("th")))
     bound = float(np.log(100 / percent))
-    prefixes = written(_prefixes(docs, words, percent, shared))
-    # one exchange of all postings, in few columns; a long list's parts are kept unseen
-    posted = prefixes.select("c", "n", F.posexplode(F.arrays_zip("tokens", "salts")).alias("rank", "t")).select(
-        F.col("t.tokens").alias("token"), "c", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("rank").cast("long")).alias("place"),
-        F.col("t.salts").alias("salts"), F.pmod(F.xxhash64("c"), F.col("t.salts")).cast("int").alias("salt"),
-    )
+    posted = _postings(docs, words, percent, shared)  # one exchange of all postings; a long list's parts are kept unseen
     mine = Window.partitionBy("token", "salt")
     shared_by = posted.withColumns({"c0": F.min("c").over(mine), "c1": F.max("c").over(mine)}).where("c0 <> c1 or salts > 1").dropDuplicates(["token", "salt", "c"])
     n = F.shiftright("place", 32).cast("int")
     lists = written(shared_by.select("token", "salt", "salts", "c", n.alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("rank"), F.floor(F.log(n.cast("double")) / bound).cast("int").alias("band"), F.col("c").alias("g")))
-    discard(prefixes)
     fits = (100 * F.least("na", "nb").cast("long")) >= (percent * F.greatest("na", "nb").cast("long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -480,7 +489,10 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = links.unionByName(_settle(lists, docs, classes, words, percent, shared))
     found = components(links)
     of = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", F.coalesce("component", "c").alias("g"))
-    return rows.join(of, ["c", "n", "h2"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"), "g")
+    out = written(rows.join(of, ["c", "n", "h2"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"), "g"))
+    discard(scan, classes, lists, links, found)
+    shared.destroy()
+    return out
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -493,6 +505,6 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     documents of their own and are not linked by it. A row without doc_id has its component's smallest
     doc_id, or null; it links as others do. N-grams and sets are told apart by 64-bit and 128-bit hashes.
     """
-    rows = written(grouped(docs, words, percent))
+    rows = grouped(docs, words, percent)
     smallest = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
     return rows.join(smallest, "g", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("g").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import jaccard, langid, packing, toxicity
-from maskline.llm.common import table, written
+from maskline.llm.common import discard, table, written
 
 #: A document goes as of no known language where even the best model needs more bits for a byte than a
 #: byte has.
@@ -58,7 +58,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     some = written(who.join(stay.where("rows > 1 or r.copies > 1").select("g", "r"), "g"))
     name = lambda d, t: F.xxhash64(F.coalesce(d.cast("string"), F.lit("")), d.isNull(), t)
     first = place == F.col("r.at")
-    judged = some.groupBy(name(F.col("doc_id"), F.col("th")).alias("_name")).agg(F.bool_and(~F.coalesce(first, F.lit(False))).alias("_out")).withColumn("_met", F.lit(True))
+    judged = written(some.groupBy(name(F.col("doc_id"), F.col("th")).alias("_name")).agg(F.bool_and(~F.coalesce(first, F.lit(False))).alias("_out")).withColumn("_met", F.lit(True)))
+    discard(rows, stay, some)
+    judged = F.broadcast(judged) if judged.count() <= jaccard.BROADCAST else judged  # else documents move to their names
     kept, back = _aside(docs, ("_name", "_out", "_met"))
     known = kept.withColumn("_name", name(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(judged, "_name", "left").where("_out is null or not _out")
     # of a group's first rows, which are alike but for further columns, one

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of one pass of the per-byte kernels, and of the text of rows that are handled together.
-STEP, SLICE = 1 << 20, 4 << 20
+STEP, SLICE = 1 << 20, 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
