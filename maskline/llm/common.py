@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Levels of the geometric sampler; a row is on level k with probability 2**-(k+1).
 LEVELS = 48
+#: Bytes of a batch of rows for Python.
+BATCH = 8 << 20
 #: Links that a task contracts at a time, and that one of a later round has on average.
 ROOM, ROWS = 1 << 20, 100_000
 
@@ -22,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most BATCH bytes from here on: 10,000 long texts at once would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 

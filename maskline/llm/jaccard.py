@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskline.llm.common import components, discard, local_components, written
-from maskline.llm.words import EXACT, FOLD, SPACE, mix, ragged, slices, spans, text_buffer
+from maskline.llm.words import EXACT, FOLD, SPACE, mix, ragged, release, slices, spans, text_buffer
 
 #: The sketch has a counter (4 bytes) for each LOAD n-grams, 2**MOST_BITS at most; it only orders n-grams.
 LEAST_BITS, MOST_BITS, LOAD, BLOCK, FRAGMENTS = 12, 24, 64, 4096, 8
@@ -322,10 +322,15 @@ def _families(lists: DataFrame, percent: int) -> DataFrame:
                 u, v = np.divmod(np.unique(u[new] * len(nodes) + v[new]), len(nodes))
                 root = local_components(len(nodes), u, v)[root]
         linked = np.flatnonzero(root != np.arange(len(nodes)))
+        release()
         return pa.table({"a": nodes[linked], "b": nodes[root[linked]]})
 
     dealt = _cut_lists(lists, ["token", "c", "n", "room", "g"])
-    return components(dealt.groupBy("group", "long", "lo", "hi").applyInArrow(connect, "a long, b long"))
+    # written: else each task would hold a worker for connect and one for what components do first
+    links = written(dealt.groupBy("group", "long", "lo", "hi").applyInArrow(connect, "a long, b long"))
+    found = components(links)
+    discard(links)
+    return found
 
 
 def _blocks_met(lists: DataFrame, percent: int) -> DataFrame:
@@ -408,6 +413,7 @@ def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
         f = table.column("fragment")[0].as_py()
         one = lambda x: pa.array([x.tobytes()], pa.binary())
         none = pa.array([None], pa.binary())
+        release()
         return pa.table({"x": table.column("x")[:1], "y": table.column("y")[:1], "counts": pa.array([zlib.compress(k[i, j].astype("<u4").tobytes(), 1)], pa.binary()), "c": one(c) if f == 0 else none, "n": one(n) if f == 0 else none, "family": one(family) if f == 0 else none})
 
     def total(table: pa.Table) -> pa.Table:
@@ -489,7 +495,11 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = links.unionByName(_settle(lists, docs, classes, words, percent, shared))
     found = components(links)
     of = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", F.coalesce("component", "c").alias("g"))
-    out = written(rows.join(of, ["c", "n", "h2"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"), "g"))
+    empty = F.lit(None).cast("long")
+    out = written(
+        rows.where("n > 0").join(written(of), ["c", "n", "h2"]).select("doc_id", "th", "n", "c", "g")
+        .unionByName(rows.where("n = 0").select("doc_id", "th", "n", empty.alias("c"), empty.alias("g")))
+    )
     discard(scan, classes, lists, links, found)
     shared.destroy()
     return out
@@ -506,5 +516,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     doc_id, or null; it links as others do. N-grams and sets are told apart by 64-bit and 128-bit hashes.
     """
     rows = grouped(docs, words, percent)
-    smallest = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(smallest, "g", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("g").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # written, so that a large group's rows can be split where they meet their name; empty sets don't meet at all
+    smallest = written(rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id")))
+    size = F.col("n").cast("long").alias("n_shingles")
+    named = rows.where("g is not null").join(smallest, "g").select("doc_id", size, "component_id")
+    return named.unionByName(rows.where("g is null").select("doc_id", size, F.col("doc_id").alias("component_id")))

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.llm.common import bounded_sample, sliced
-from maskline.llm.words import STEP, HashIndex, mix, slices, text_buffer
+from maskline.llm.words import HashIndex, mix, slices, text_buffer
 
 #: Bytes of labelled text that a language is learned from at most, those of all languages together, the longest
 #: context, and languages that share a table of grams: tables grow with the bytes learned, not with their product
 #: with the number of languages.
 LEARN_BYTES, TOTAL_BYTES, ORDER, GROUP = 2 << 20, 64 << 20, 4, 8
 UNKNOWN = "und"
+#: Bytes that are coded together.
+STEP = 1 << 18
 
 
 class _Keys:

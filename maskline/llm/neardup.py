@@ -208,9 +208,9 @@ def link(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None,
     named = classes.join(reach, classes["c"] == reach["node"], "left").select("c", *key, "id", "m", F.coalesce("component", "c").alias("g"))
     smallest = named.groupBy("g").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "g").join(counts, "c", "left").select(*key, "component_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = written(rows.select("vec_id", *key).join(of, key, "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
-    ))
-    discard(some, classes, counted, links, reach)
+    of = written(of)
+    linked = rows.where("ok").select("vec_id", *key).join(of, key).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))  # they meet nothing
+    out = written(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+    discard(some, classes, counted, links, reach, of)
     return out

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import ann, chat, html, jaccard, langid, neardup, packing, pieces, tokenfile, toxicity
-from maskline.llm.common import crc_mod, table
+from maskline.llm.common import crc_mod, light_batches, table
 
 
 def vocabulary(name: str) -> str:
@@ -62,9 +64,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def _bounded(op):
+    @wraps(op)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        light_batches(spark)
+        return op(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     ops = (op1_language_id, op2_embedding_neardup, op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_ngram_jaccard, op8_packing, op9_html_text, op10_chat_format)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: _bounded(f) for f in ops}
 
 
 #: Calls are users' turns, results the assistant's next ones; no text of the table is itself JSON.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskline.llm import jaccard, langid, packing, toxicity
-from maskline.llm.common import discard, table, written
+from maskline.llm.common import discard, light_batches, table, written
 
 #: A document goes as of no known language where even the best model needs more bits for a byte than a
 #: byte has.
@@ -28,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay if the model's bias says so; without labels it is a constant near 0 and all stay.
     Each of equal rows is judged alike. An empty table gives no rows; columns of any name stay as they are.
     """
+    light_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     rows, back = _aside(docs, ("score", "predicted"))
     return back(toxicity.score(rows, toxicity.learn(docs, labels)).where("predicted = 0"))
@@ -39,6 +40,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Without a known language in the table nothing can be explained and no row stays. Each of equal rows is
     judged alike. An empty table gives no rows; columns of any name stay as they are.
     """
+    light_batches(spark)
     rows, back = _aside(docs, ("lang_pred", "score", "bits_per_byte", "_letter"))
     judged = langid.predict(rows, langid.learn(docs))
     return back(judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)))
@@ -51,6 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts each group's. Empty texts are no one's copies and all stay. An empty table gives no rows; columns stay
     as they are, and none of their names is in the way.
     """
+    light_batches(spark)
     rows = jaccard.grouped(docs.select("doc_id", "text"))
     who = rows.where("g is not null").groupBy("g", "doc_id", "th").agg(F.count("*").alias("copies"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
@@ -69,6 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of docs' token sequences."""
+    light_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

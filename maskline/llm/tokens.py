@@ -17,7 +17,7 @@ import numpy as np
 from maskline.llm.words import EXACT, FOLD, SpanTable, ragged, spans
 
 #: Distinct spans that a worker remembers; others are encoded at each occurrence's text.
-CACHE = 1_500_000
+CACHE = 500_000
 _WIDE_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
 #: Punctuation that is cut off a span's end after a letter or digit: it is encoded by itself there.

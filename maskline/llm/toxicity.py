@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline.llm.common import bounded_sample, sliced
-from maskline.llm.words import EXACT, FOLD, SpanTable, distinct, mix, slices, spans, text_buffer
+from maskline.llm.words import EXACT, FOLD, SpanTable, distinct, mix, release, slices, spans, text_buffer
 
 #: What the model is fitted on at most: labelled texts and bytes of them, for each class.
 LEARN_ROWS, LEARN_BYTES = 3000, 5 << 20
@@ -21,7 +21,7 @@ GRAMS = (3, 4, 5)
 EPOCHS, STEP, DECAY, SUPPORT = 80, 1.0, 0.02, 30
 THRESHOLD = 0.3
 #: Distinct words that a worker remembers.
-CACHE = 1_500_000
+CACHE = 500_000
 #: Words whose features are found at once.
 CHUNK = 8192
 SEPARATOR = np.zeros(256, bool)
@@ -171,6 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, size: int
         n = np.bincount(y, minlength=2)
         w = np.array([share.get(k, 0) / max(n[k], 1) for k in (0, 1)])
         m = fit([r[2] for r in found], y, w[y] if len(y) else np.zeros(0))
+        del found
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([m.margin.tobytes()], pa.binary()), pa.array([m.offset])], names=["margin", "offset"])
 
     # the sample is bounded, so one task learns from it; the driver gets one number a bucket

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of one pass of the per-byte kernels, and of the text of rows that are handled together.
-STEP, SLICE = 1 << 20, 2 << 20
+STEP, SLICE = 1 << 19, 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -46,6 +47,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW, _INV
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system: workers live on, and the next stage's need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have at most limit bytes together (a longer text comes alone)."""
     off = text_buffer(batch.column(column))[1]
@@ -54,6 +64,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
