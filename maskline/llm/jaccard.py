@@ -36,7 +36,7 @@ LIST = 1024
 #: Entries of a posting list, and how many times the mean of all counters, from which on it is dealt over several tasks.
 HOT, HOT_MEANS = 1 << 14, 16
 #: Classes that are compared with each other in one task, on average; those of a block of a large family.
-CELL, HALF = 256, 256
+CELL, HALF = 256, 1024
 #: Hashes of texts that are broadcast at most: 8 bytes each, about 24 in a table. Beyond, texts are shuffled.
 BROADCAST = 1_500_000
 #: Pairs of entries looked at together in a task.
@@ -360,22 +360,26 @@ def overlap(parts: list[np.ndarray]) -> np.ndarray:
     number = np.cumsum(shared) - 1
     keep = shared[column]
     owner, column = owner[keep], number[column[keep]]
-    out, n = np.zeros((m, m), np.int64), int(shared.sum())
+    out, n = np.zeros((m, m), np.float32), int(shared.sum())  # exact up to 2**24 common n-grams of a segment
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for lo in range(0, n, 4096):
-        a, b = np.searchsorted(column, (lo, lo + 4096))
-        met = np.zeros((m, min(4096, n - lo)), np.float32)
+    for lo in range(0, n, 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        met = np.zeros((m, min(2048, n - lo)), np.float32)
         met[owner[a:b], column[a:b] - lo] = 1
-        out += (met @ met.T).astype(np.int64)
+        out += met @ met.T
     return out
 
 
-def _open_pairs(c: np.ndarray, n: np.ndarray, family: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(n: np.ndarray, family: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the pairs of a cell that are to be counted: of one family, of sizes that fit."""
-    n = n.astype(np.int64)
-    least, most = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    return np.nonzero(np.triu((family[:, None] == family[None, :]) & (100 * least >= percent * most), 1))
+    n, at, pairs = n.astype(np.int64), np.arange(len(n)), []
+    for lo in range(0, len(n), 256):
+        x = slice(lo, lo + 256)
+        least, most = np.minimum(n[x, None], n[None]), np.maximum(n[x, None], n[None])
+        i, j = np.nonzero((family[x, None] == family[None]) & (100 * least >= percent * most) & (at[x, None] < at[None]))
+        pairs.append(np.stack([i + lo, j]).astype(np.int32))
+    return tuple(np.concatenate(pairs, axis=1))
 
 
 def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, shared) -> DataFrame:
@@ -409,7 +413,7 @@ def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
         part = table.column("part").combine_chunks()
         flat, off = part.flatten().to_numpy(), np.append(0, np.cumsum(part.value_lengths().to_numpy()))
         k = overlap([flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)])
-        i, j = _open_pairs(c, n, family, percent)
+        i, j = _open_pairs(n, family, percent)
         f = table.column("fragment")[0].as_py()
         one = lambda x: pa.array([x.tobytes()], pa.binary())
         none = pa.array([None], pa.binary())
@@ -422,7 +426,7 @@ def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
             k = k + np.frombuffer(zlib.decompress(row["counts"]), "<u4").astype(np.int64)
             if row["c"] is not None:
                 c, n, family = (np.frombuffer(row[x], kind) for x, kind in (("c", "<i8"), ("n", "<i4"), ("family", "<i8")))
-        i, j = _open_pairs(c, n, family, percent)
+        i, j = _open_pairs(n, family, percent)
         hit = k * (100 + percent) >= percent * (n[i].astype(np.int64) + n[j])
         root = local_components(len(c), i[hit], j[hit])
         linked = np.flatnonzero(root != np.arange(len(c)))
