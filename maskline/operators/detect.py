@@ -45,8 +45,10 @@ def _matches(text: Column, d: Detector) -> Column:
     """The pattern's matches in text as an array of (start, end, value); null without one.
 
     Matches are marked, the text is split at the marks, and the lengths of the pieces are added up on the way.
+    Only a text that passes the gate is looked at further.
     """
-    pieces = F.split(F.regexp_replace(text, d.pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
+    clean = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, chr(0xFFFD) * 2)).otherwise(text)
+    pieces = F.split(F.regexp_replace(clean, d.pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def place(acc: Column, piece: Column) -> Column:
@@ -61,12 +63,11 @@ def _matches(text: Column, d: Detector) -> Column:
 
 def found(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
     """All pattern matches in text, valid or not, as an array of (detector_ord, match_ord, start, end, value), in the order of detectors."""
-    clean = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, chr(0xFFFD) * 2)).otherwise(text)
     none = F.array().cast("array<struct<detector_ord:int,match_ord:int,start:int,end:int,value:string>>")
 
     def of(i: int, d: Detector) -> Column:
         numbered = lambda x, k: F.struct(F.lit(i).alias("detector_ord"), k.alias("match_ord"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
-        return F.coalesce(F.transform(_matches(clean, d), numbered), none)
+        return F.coalesce(F.transform(_matches(text, d), numbered), none)
 
     return F.concat(*(of(i, d) for i, d in enumerate(detectors))) if detectors else none
 
