@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import any_of, written
+from maskline.llm.common import any_of, discard, written
 
 #: Tools by name, their arguments as name -> (JSON type, required). A user's turn is a call of 'reply'.
 TOOLS: dict[str, dict[str, tuple[str, bool]]] = {"reply": {"prompt": ("string", True)}}
@@ -102,6 +102,7 @@ def levels(calls: DataFrame) -> DataFrame:
         rest = written(todo.join(free.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_anti"))
         ready = written(released.select("conv_id", "call_id").distinct().join(rest.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k + 1)))
         done = ready if done is None else done.unionByName(ready)
+        discard(todo)
         todo = rest
         if todo.isEmpty() or ready.isEmpty():
             break

@@ -400,7 +400,7 @@ def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
     full = large.groupBy("component", "b").agg(F.ceil(F.count("*") / HALF).alias("cuts"))
     blocks = large.join(full, ["component", "b"]).select("c", "component", F.xxhash64("component", "b", F.pmod(F.xxhash64("c"), F.col("cuts"))).alias("block"))
     blocks = written(blocks)
-    members = small
+    members, met = small, None
     if not blocks.isEmpty():
         met = written(_blocks_met(lists.join(blocks.select("c", "block"), "c"), percent))
         sides = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
@@ -434,7 +434,7 @@ def _settle(lists: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
 
     partial = members.join(segments, "c").groupBy("x", "y", "fragment").applyInArrow(count, "x long, y long, counts binary, c binary, n binary, family binary")
     links = written(partial.groupBy("x", "y").applyInArrow(total, "a long, b long"))
-    discard(segments, family, of, blocks)
+    discard(segments, family, of, blocks, *([met] if met is not None else []))
     return links
 
 
@@ -499,12 +499,12 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = links.unionByName(_settle(lists, docs, classes, words, percent, shared))
     found = components(links)
     of = classes.join(found, classes["c"] == found["node"], "left").select("c", "n", "h2", F.coalesce("component", "c").alias("g"))
-    empty = F.lit(None).cast("long")
+    of, empty = written(of), F.lit(None).cast("long")
     out = written(
-        rows.where("n > 0").join(written(of), ["c", "n", "h2"]).select("doc_id", "th", "n", "c", "g")
+        rows.where("n > 0").join(of, ["c", "n", "h2"]).select("doc_id", "th", "n", "c", "g")
         .unionByName(rows.where("n = 0").select("doc_id", "th", "n", empty.alias("c"), empty.alias("g")))
     )
-    discard(scan, classes, lists, links, found)
+    discard(scan, classes, lists, links, found, of)
     shared.destroy()
     return out
 
