@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,17 @@ _GUARD = r"[A-Za-z0-9\u0130\u0131\u017F\u212A]"
 _GAP = f"(?:{SPACE}|-)?"
 
 
+def long_number(t: Column) -> Column:
+    """Ten digits with at most one white space or hyphen between two: what every kind of number has."""
+    return t.rlike(rf"(?:{DIGIT}{_GAP}){{9}}{DIGIT}")
+
+
 @dataclass(frozen=True)
 class Detector:
-    """A pattern, what a match must pass, and how its value is written."""
+    """A pattern, what a match must pass, and how its value is written.
+
+    gate and need only spare texts that can't match; need is looked at once for neighbours that share it.
+    """
 
     type: str
     pattern: str
@@ -28,15 +37,16 @@ class Detector:
     valid: Callable[[Column], Column] | None = None
     normalize: Callable[[Column], Column] | None = None
     clean: Callable[[Column], Column] | None = None
+    need: Callable[[Column], Column] | None = None
 
 
 # Patterns and confidences by type. Gates only spare texts that can't match.
 DETECTORS: tuple[Detector, ...] = (
     Detector("EMAIL", rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}", 0.99, lambda t: t.contains("@")),
-    Detector("PHONE", rf"(?<!{DIGIT})(?:\+90|0090|0)?{_GAP}5{DIGIT}{{2}}{_GAP}{DIGIT}{{3}}{_GAP}{DIGIT}{{2}}{_GAP}{DIGIT}{{2}}(?!{DIGIT})", 0.95, lambda t: t.rlike(rf"5{DIGIT}{{2}}"), clean=strip),
-    Detector("TCKN", rf"(?<!{DIGIT})[1-9]{DIGIT}{{10}}(?!{DIGIT})", 0.99, lambda t: t.rlike(rf"[1-9]{DIGIT}{{10}}"), checks.is_tckn),
-    Detector("IBAN", rf"(?<!{_GUARD})[Tt][Rr]{DIGIT}{{2}}(?:{SPACE}?{DIGIT}{{4}}){{5}}{SPACE}?{DIGIT}{{2}}(?!{_GUARD})", 0.99, lambda t: t.rlike(rf"[Tt][Rr]{DIGIT}{{2}}"), checks.is_tr_iban, checks.normalize_iban),
-    Detector("CARD_NUMBER", rf"(?<!{DIGIT})(?:{DIGIT}[ -]?){{12,18}}{DIGIT}(?!{DIGIT})", 0.99, lambda t: t.rlike(rf"(?:{DIGIT}[ -]?){{12}}{DIGIT}"), checks.is_card, checks.normalize_card),
+    Detector("PHONE", rf"(?<!{DIGIT})(?:\+90|0090|0)?{_GAP}5{DIGIT}{{2}}{_GAP}{DIGIT}{{3}}{_GAP}{DIGIT}{{2}}{_GAP}{DIGIT}{{2}}(?!{DIGIT})", 0.95, lambda t: t.rlike(rf"5{DIGIT}{{2}}"), clean=strip, need=long_number),
+    Detector("TCKN", rf"(?<!{DIGIT})[1-9]{DIGIT}{{10}}(?!{DIGIT})", 0.99, lambda t: t.rlike(rf"[1-9]{DIGIT}{{10}}"), checks.is_tckn, need=long_number),
+    Detector("IBAN", rf"(?<!{_GUARD})[Tt][Rr]{DIGIT}{{2}}(?:{SPACE}?{DIGIT}{{4}}){{5}}{SPACE}?{DIGIT}{{2}}(?!{_GUARD})", 0.99, lambda t: t.rlike(rf"[Tt][Rr]{DIGIT}{{2}}"), checks.is_tr_iban, checks.normalize_iban, need=long_number),
+    Detector("CARD_NUMBER", rf"(?<!{DIGIT})(?:{DIGIT}[ -]?){{12,18}}{DIGIT}(?!{DIGIT})", 0.99, lambda t: t.rlike(rf"(?:{DIGIT}[ -]?){{12}}{DIGIT}"), checks.is_card, checks.normalize_card, need=long_number),
 )
 RULE_TYPES = tuple(d.type for d in DETECTORS)
 
@@ -69,7 +79,8 @@ def found(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
         numbered = lambda x, k: F.struct(F.lit(i).alias("detector_ord"), k.alias("match_ord"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
         return F.coalesce(F.transform(_matches(text, d), numbered), none)
 
-    return F.concat(*(of(i, d) for i, d in enumerate(detectors))) if detectors else none
+    groups = [(need, F.concat(*(of(i, d) for i, d in some))) for need, some in groupby(enumerate(detectors), key=lambda x: x[1].need)]
+    return F.concat(none, *(F.when(need(text), made).otherwise(none) if need else made for need, made in groups))
 
 
 def _by_detector(detectors: Sequence[Detector], ord_: Column, make: Callable[[Detector], Column | None], otherwise: Column) -> Column:
