@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,14 +33,17 @@ class Packer:
     filled from the filler: the parts of documents over the capacity, the documents of the last classes that
     arrive while closed bins wait, and any document where POOL of them do. No id of a class's documents
     is cut until the end of the worker's input, where what is left is laid end to end; the last sequence
-    is cut at powers of two, which need no padding.
+    is cut at powers of two, which need no padding. Documents over the capacity fill first, as they are cut
+    anyway; then the longest whole ones that fit, and one that is cut serves many small rests.
     """
 
     def __init__(self, capacity: int, base: int):
         self.capacity, self.next = capacity, base
         self.bins: dict[int, list] = {}
-        self.filler: deque = deque()
-        self.held = 0
+        self.long: deque = deque()  # filler: of documents over the capacity
+        self.whole: list = []  # others by their length, as (length, number of arrival, piece)
+        self.rest: tuple | None = None  # of the one that is being cut
+        self.held = self.arrived = 0
         self.waiting: deque = deque()
         self.out: list[tuple] = []
 
@@ -51,21 +55,37 @@ class Packer:
         self.next += 1
 
     def _take(self, n: int) -> list:
-        """Pieces of n ids in all from the front of the filler, or of all that it holds."""
+        """Pieces of n ids in all from the filler, or of all that it holds."""
         pieces = []
-        while n and self.filler:
-            key, ids, total, a, b = self.filler[0]
+        while n and self.held:
+            at = bisect_right(self.whole, n, key=lambda x: x[0]) if not self.long else 0
+            if at:
+                piece = self.whole.pop(at - 1)[2]
+            else:
+                if self.long:
+                    piece = self.long.popleft()
+                elif self.rest:
+                    piece, self.rest = self.rest, None
+                else:
+                    piece = self.whole.pop(0)[2]
+            key, ids, total, a, b = piece
             m = min(n, b - a)
             pieces.append((key, ids, total, a, a + m))
             n, self.held = n - m, self.held - m
-            if a + m == b:
-                self.filler.popleft()
-            else:
-                self.filler[0] = (key, ids, total, a + m, b)
+            if a + m < b:
+                left = (key, ids, total, a + m, b)
+                if total > self.capacity:
+                    self.long.appendleft(left)
+                else:
+                    self.rest = left
         return pieces
 
     def _pour(self, piece: tuple) -> None:
-        self.filler.append(piece)
+        if piece[2] > self.capacity:
+            self.long.append(piece)
+        else:
+            self.arrived += 1
+            insort(self.whole, (piece[2], self.arrived, piece))
         self.held += piece[4] - piece[3]
         while self.waiting and self.held >= self.waiting[0][1]:
             pieces, gap = self.waiting.popleft()
