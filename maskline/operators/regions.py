@@ -165,16 +165,20 @@ def _find(value: Column, part: Column, start: Column) -> Column:
 def classify_pages(pages: DataFrame, images: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """pages (keys, text, rect) with page_class: ocr, hybrid or native.
 
-    Blank pages are ocr. An image of at least IMAGE_SHARE of the page that native words cover by less
-    than WORD_COVER makes it hybrid.
+    Blank pages are ocr. An image of at least IMAGE_SHARE of the page that native words (keys, word_ord, bbox)
+    cover by less than WORD_COVER makes it hybrid. Their areas are added in the order of word_ord, since at the
+    threshold the order of adding decides; no area is negative, so the largest sum is the last.
     """
     area = F.greatest(F.col("rect.x1") - F.col("rect.x0"), F.lit(0.0)) * F.greatest(F.col("rect.y1") - F.col("rect.y0"), F.lit(0.0))
     sized = pages.where(area > 0).select(*keys, "rect", area.alias("page_area"))
     large = images.join(sized, list(keys)).withColumn("image_area", intersection_area(F.col("bbox"), F.col("rect"))).where(F.col("image_area") / F.col("page_area") >= IMAGE_SHARE)
+    one = [*keys, "image_ord", "image_area"]
+    order = Window.partitionBy(*one).orderBy("word_ord").rowsBetween(Window.unboundedPreceding, 0)
     covered = (
-        large.select(*keys, "image_ord", "image_area", F.col("bbox").alias("image"))
-        .join(words.select(*keys, F.col("bbox").alias("word")), list(keys), "left")
-        .groupBy(*keys, "image_ord", "image_area").agg(F.sum(intersection_area(F.col("word"), F.col("image"))).alias("covered"))
+        large.select(*one, F.col("bbox").alias("image"))
+        .join(words.select(*keys, "word_ord", F.col("bbox").alias("word")), list(keys), "left")
+        .withColumn("covered", F.sum(intersection_area(F.col("word"), F.col("image"))).over(order))
+        .groupBy(*one).agg(F.max("covered").alias("covered"))
     )
     bare = covered.groupBy(*keys).agg(F.bool_or(F.least("covered", "image_area") / F.col("image_area") < WORD_COVER).alias("bare"))
     return pages.join(bare, list(keys), "left").withColumn("page_class", F.when(is_blank(F.col("text")), "ocr").when(F.coalesce("bare", F.lit(False)), "hybrid").otherwise("native")).drop("bare")

@@ -14,7 +14,7 @@ from maskline import api
 from maskline.functions import masks
 from maskline.operators import analyze, detect, evaluate, layout, ner, policy, redact, regions
 from maskline.plans import inputs, oracle
-from maskline.plans.inputs import from_sql, table
+from maskline.plans.inputs import from_sql, placed_table, table
 from maskline.sources import ingest, office
 from maskline.streaming import retention
 
@@ -179,7 +179,7 @@ def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = regions.bbox(*(F.col(s) for s in regions.SIDES)).alias
     pages = from_sql(spark, sf_dir, oracle.CLASS_PAGES).select("page", "text", box("rect"))
     images = from_sql(spark, sf_dir, oracle.CLASS_IMAGES).select("page", "image_ord", box("bbox"))
-    words = from_sql(spark, sf_dir, oracle.CLASS_WORDS).select("page", box("bbox"))
+    words = from_sql(spark, sf_dir, oracle.CLASS_WORDS.replace("select ", "select place as word_ord, ", 1), placed_table).select("page", "word_ord", box("bbox"))
     return regions.classify_pages(pages, images, words, ["page"]).select("page", "page_class")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -11,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def placed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with place: where a row stands in it, in the order of its files' paths and of their rows."""
+    return table(spark, sf_dir, name).withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
+def from_sql(spark: SparkSession, sf_dir: str, sql: str, read: Callable[[SparkSession, str, str], DataFrame] = table) -> DataFrame:
     """The SQL over the tables that it names, each bound as an argument of the one statement."""
     import re
 
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    return spark.sql(re.sub(rf"\b({'|'.join(TABLES)})\b", r"{\1}", sql), **{t: table(spark, sf_dir, t) for t in used}) if used else spark.sql(sql)
+    return spark.sql(re.sub(rf"\b({'|'.join(TABLES)})\b", r"{\1}", sql), **{t: read(spark, sf_dir, t) for t in used}) if used else spark.sql(sql)
 
 
 #: IDs with their check digits (the last wrong for each third), phone numbers, IBANs (wrong for each fifth).

@@ -63,7 +63,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     key = ["doc_id", "page_number"]
     box = lambda c: regions.bbox(*(F.col(f"{c}.{x}") for x in regions.SIDES))
     images = pages.select(*key, F.posexplode("images").alias("image_ord", "i")).select(*key, "image_ord", box("i").alias("bbox"))
-    words = pages.select(*key, F.explode("words").alias("w")).select(*key, box("w").alias("bbox"))
+    words = pages.select(*key, F.posexplode("words").alias("word_ord", "w")).select(*key, "word_ord", box("w").alias("bbox"))
     kinds = regions.classify_pages(pages.select(*key, "text", "rect"), images, words, key)
     all_ = spans(pages).where("text <> ''")
     scanned = regions.ocr_text(all_, key).withColumnRenamed("text", "ocr")

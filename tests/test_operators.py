@@ -1,7 +1,9 @@
 """Detection, redaction, layout, entities, evaluation, files and retention on small literal inputs."""
 
 import datetime as dt
+import functools
 import io
+import itertools
 import re
 import zipfile
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskline import api
 from maskline.operators import analyze, detect, evaluate, layout, ner, policy, redact, regions
+from maskline.plans import catalogue
 from maskline.sources import ingest, office, pdf
 from maskline.streaming import retention
 
@@ -248,6 +251,45 @@ def test_pdf_pages_of_any_parser(spark):
     assert [(r.doc_id, r.http_code) for r in pdf.errors(parsed).collect()] == [("2", 422)]
 
 
+def test_page_class_adds_words_in_their_order(spark):
+    box = lambda *sides: dict(zip(regions.SIDES, map(float, sides), strict=True))
+    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
+    # Areas that make 0.05 of the image: the class depends on the order in which they are added.
+    orders = list(itertools.permutations((n * 3, 1, n * 3 + q / 10, 20) for n, q in ((3, 19), (7, 17), (1, 17), (5, 47))))
+    totals = [functools.reduce(lambda a, w: a + (w[2] - w[0]) * 19, o, 0.0) for o in orders]
+    want = ["hybrid" if t / 3800 < 0.05 else "native" for t in totals]
+    pages = spark.createDataFrame([(i, "a", box(0, 0, 100, 100)) for i in range(len(orders))], f"page int, text string, rect {kind}")
+    images = spark.createDataFrame([(i, 1, box(0, 0, 76, 50)) for i in range(len(orders))], f"page int, image_ord int, bbox {kind}")
+    rows = [(i, k, box(*w)) for i, o in enumerate(orders) for k, w in enumerate(o)]
+    assert set(want) == {"hybrid", "native"}
+    for arriving in (rows, rows[::-1]):
+        words = spark.createDataFrame(arriving, f"page int, word_ord int, bbox {kind}").coalesce(1)
+        assert [r.page_class for r in regions.classify_pages(pages, images, words, ["page"]).orderBy("page").collect()] == want
+
+
+def test_page_class_equals_its_sql_where_the_order_of_adding_decides(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lines = [o for n, m in itertools.product(range(3, 8), range(4, 8)) for o in itertools.permutations([(1, 38.0), (3, 12.0), (n, 17.0), (m, 33.0)])]
+    table = lambda rows, names: pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)))
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice"]
+    (tmp_path / "orders.parquet").mkdir()
+    (tmp_path / "lineitem.parquet").mkdir()
+    pq.write_table(table([(i, "2-HIGH") for i in range(len(lines))], ["o_orderkey", "o_orderpriority"]), tmp_path / "orders.parquet" / "0.parquet")
+    for part in (0, 1):
+        rows = [(i, n, q, k, 1, 1.0) for i, o in enumerate(lines) for k, (n, q) in enumerate(o) if (k > 0) == part]
+        pq.write_table(table(rows, names), tmp_path / "lineitem.parquet" / f"{part}.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for t in ("orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(catalogue.oracle_sql()["page_class"]).fetchall())
+    got = sorted(tuple(r) for r in catalogue.queries()["page_class"](spark, str(tmp_path)).collect())
+    assert got == want and {c for _, c in want} == {"hybrid", "native", "ocr"}
+
+
 def test_files_are_redacted_end_to_end(spark):
     doc = office.make_docx([["Posta: deniz@po", "sta.example.org", " ok"], [[[["Kart"]], [[CARD]]]]])
     book = office.make_xlsx({"S": [["a", ("LOWER(A1)", "deniz@posta.example.org")], [CARD, ("1+1", 2)]]})
